@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabguard.llm import bpe, mixing, quality_rules
-from tabguard.llm.common import table
+from tabguard.llm import bpe, html_extract, langid, mixing, quality_pu, quality_rules, token_counts
+from tabguard.llm.common import held_out, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,19 +17,50 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe(docs, path, ("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"
     return quality_rules.quality_rules(docs).select(*names.split())
 
 
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality_pu.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_pu.classify(docs, network).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts.token_counts(docs, path, public_tokenizers.PATTERN).drop("text")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_quality_rules, op8_mixing)}
+    found = (
+        op1_bpe,
+        op2_html_extraction,
+        op3_quality_rules,
+        op5_quality_pu,
+        op8_mixing,
+        op9_token_counts,
+        op10_langid,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP3_SQL = f"""
