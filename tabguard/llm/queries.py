@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabguard.llm import bpe, html_extract, langid, mixing, quality_pu, quality_rules, token_counts
+from tabguard.llm import bpe, html_extract, langid, line_dedup, minhash, mixing, quality_pu, quality_rules, token_counts, topk
 from tabguard.llm.common import held_out, table
 
 
@@ -27,12 +28,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select(*names.split())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed_lines", "kept", "text")
+
+
 def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     network = quality_pu.fit(docs, table(spark, sf_dir, "labels"))
     return quality_pu.classify(docs, network).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -55,7 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_bpe,
         op2_html_extraction,
         op3_quality_rules,
+        op4_line_dedup,
         op5_quality_pu,
+        op6_topk,
+        op7_minhash,
         op8_mixing,
         op9_token_counts,
         op10_langid,
@@ -99,6 +116,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP6_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT vec_id AS query_id, unnest(v) AS a, generate_subscripts(v, 1) AS i FROM e WHERE vec_id % 100 = 0
+), c AS (
+  SELECT vec_id, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM e
+), s AS (
+  SELECT query_id, vec_id, sum(a * b)::BIGINT AS score FROM q JOIN c USING (i) WHERE query_id <> vec_id GROUP BY ALL
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 OP8_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -136,4 +169,4 @@ FROM r GROUP BY doc_id, size, source_size, target, k, e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op8_mixing": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_topk": OP6_SQL, "op8_mixing": OP8_SQL}
