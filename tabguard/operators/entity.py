@@ -11,25 +11,13 @@ from pyspark.sql import functions as F
 from tabguard.errors import TableError, need
 from tabguard.functions.similarity import length_bound, name_similarity, normalised, ratio
 from tabguard.functions.text import ROW, col, data_columns, norm_text, number_text, type_of
+from tabguard.operators.graph import components, cut
 from tabguard.operators.ordered import neighbours
 
 MOST_PAIRS = 20_000
 NEIGHBOURS = 8
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder, where there is one, and read from there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise TableError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabguard-"))
-    return df.checkpoint(eager=True)
-
-
 def pairwise(df: DataFrame, a: str, b: str) -> DataFrame:
     """Row, both names and their similarity; rows with an empty side are left out."""
     for c in (a, b):
@@ -94,21 +82,6 @@ def match_names(
     return found.mapInPandas(run, found.schema.add("verdict", "string"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and label, the least node of its component, for the nodes of edges (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "to").distinct())
-    labels = cut(both.groupBy("node").agg(F.min("to").alias("l")).select("node", F.least("node", "l").alias("label")))
-    while True:
-        near = both.join(labels, "node").select(F.col("to").alias("node"), "label").union(labels)
-        least = cut(near.groupBy("node").agg(F.min("label").alias("label")))
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(least.join(jump, "label").select("node", F.least("label", "next").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-
-
 def _text(df: DataFrame, c: str):
     return F.coalesce(number_text(col(c), type_of(df, c)), F.lit(""))
 

@@ -16,6 +16,7 @@ from tabguard.errors import TableError, need
 from tabguard.functions.similarity import length_bound, ratio
 from tabguard.functions.text import ROW, col, data_columns, is_date, is_number, norm_text, number_text, try_date, try_number
 from tabguard.operators.clean import apply_ops, dedupe
+from tabguard.operators.graph import components
 
 DIFFERENCE = "struct<field:string,a:string,b:string,diff_abs:double,diff_pct:double>"
 SECONDS_A_DAY = 86_400
@@ -170,8 +171,6 @@ def _fuzzy_links(alone_a: DataFrame, alone_b: DataFrame, threshold: float) -> Da
                     break
         return pd.DataFrame(out, columns=["la", "lb", "similarity"])
 
-    from tabguard.operators.entity import components
-
     # keys of A are even, keys of B odd, so that both are nodes of one graph
     edges = found.select((2 * F.col("pa")).alias("a"), (2 * F.col("pb") + 1).alias("b"))
     group = components(edges).withColumnRenamed("node", "n")
