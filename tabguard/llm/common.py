@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabguard.operators.graph import cut  # noqa: F401
+
 #: Fixed value: the characters that separate words.
 SPACES = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
-
-    The folder is spark.checkpoint.dir; only where that is unset (local tests)
-    a folder of this machine is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabguard-"))
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as the empty text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

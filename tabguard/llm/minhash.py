@@ -14,8 +14,7 @@
    are dealt to blocks of bounded size, every two blocks of a bucket meet in one
    group, sizes of all intersections come from a product of matrices, and only
    links between different components leave it.
-6. Components by least label with pointer jumping; the links never leave the
-   executors.
+6. Components by contraction; the links never leave the executors.
 
 A link of similarity 0.85 shares no band, and is lost, with a chance of 3e-7.
 Shingles are compared by 64-bit hashes.
@@ -34,10 +33,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabguard.llm.common import cut, quoted
+from tabguard.llm.common import cut
+from tabguard.operators.graph import components
 
 SHINGLE = 3
 #: A link: 100 * size of the intersection >= PERCENT * size of the union.
@@ -206,23 +206,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and label (the least node of its component) for the nodes of links (a, b)."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).toDF("node", "to").distinct())
-    labels = cut(edges.groupBy("node").agg(F.min("to").alias("label")).select("node", F.least("node", "label").alias("label")))
-    while True:
-        # each node takes the least label among its neighbours and itself, then that node's own label
-        near = edges.join(labels, "node").select(F.col("to").alias("node"), "label")
-        least = near.union(labels).groupBy("node").agg(F.min("label").alias("label"))
-        least = cut(least)
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(least.join(jump, "label").select("node", F.least("label", "next").alias("label"), F.col("label").alias("was")))
-        changed = new.join(labels.toDF("node", "old"), "node").filter("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-
-
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
     """Links between different labels in the blocks (g, side, node, label, set)."""
 
@@ -331,5 +314,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         F.col("key").alias("k"), F.coalesce("label", "node").alias("component")
     )
     out = sketches.join(cut(named), F.col("key") == F.col("k"), "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
