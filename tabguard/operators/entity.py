@@ -29,7 +29,7 @@ def pairwise(df: DataFrame, a: str, b: str) -> DataFrame:
 def pair_count(df: DataFrame, name: str, group_by: str | None = None) -> int:
     """How many pairs cross matching would compare."""
     rows = df.filter(col(name).isNotNull())
-    rows = rows.groupBy(norm_text(col(group_by))) if group_by else rows.groupBy(F.lit(0))
+    rows = rows.groupBy(norm_text(col(group_by))) if group_by else rows.groupBy(F.lit("all").alias("g"))
     n = F.col("n")
     return int(rows.agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0))).first()[0])
 
