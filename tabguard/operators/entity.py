@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabguard.errors import TableError, need
 from tabguard.functions.similarity import length_bound, name_similarity, normalised, ratio
@@ -79,7 +80,7 @@ def match_names(
                 verdicts.append(verdict if verdict in ("match", "no_match") else "unverified")
             yield batch.assign(verdict=pd.Series(verdicts, index=batch.index, dtype="object"))
 
-    return found.mapInPandas(run, found.schema.add("verdict", "string"))
+    return found.mapInPandas(run, T.StructType([*found.schema.fields, T.StructField("verdict", T.StringType())]))
 
 
 def _text(df: DataFrame, c: str):

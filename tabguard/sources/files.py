@@ -81,7 +81,7 @@ def _read_delimited(spark: SparkSession, path: str, delimiter: str | None, heade
     # one column more than the header has: a row that fills it is too long, and left out
     reader = (
         spark.read.option("sep", delimiter)
-        .option("encoding", {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}.get(encoding, "UTF-8"))
+        .option("encoding", "ISO-8859-1" if encoding in ("cp1252", "latin1") else "UTF-8")
         .option("multiLine", True)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -90,9 +90,20 @@ def _read_delimited(spark: SparkSession, path: str, delimiter: str | None, heade
     top = reader.option("header", True).csv(path).columns if header else [f"c{i + 1}" for i in range(len(names))]
     if len(top) == 1 and any(d in top[0] for d in DELIMITERS if d != delimiter):
         raise IngestError(f"{path} has one column named {top[0]!r}; the delimiter is probably another one")
+    if encoding == "cp1252":
+        top = [c.translate({ord(a): b for a, b in zip(*_cp1252())}) for c in top]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*top, OVERFLOW]])
     out = reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
-    return out.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
+    out = out.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
+    if encoding == "cp1252":
+        out = out.select(*[F.translate(col(c), *_cp1252()).alias(c) for c in top])
+    return out
+
+
+def _cp1252() -> tuple[str, str]:
+    """Characters that the reader, which knows latin1 only, gives for those of cp1252, and these."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
