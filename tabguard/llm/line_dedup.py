@@ -5,9 +5,10 @@ two lines is divisible by DIVISOR, so the boundaries inside a passage are the sa
 wherever it stands; a line of LONG words or more is a chunk by itself. Chunks of
 several lines with MIN_WORDS words, and long lines, are looked for in the whole
 corpus by hash. The first occurrence (by doc_id, then position) stays. Another one
-is removed if its bytes equal those of the first; up to CONTEXT shorter lines on
-each side, which belong to chunks cut by the passage's surroundings, are removed
-with it as far as they are the same as beside the first.
+is a repeat if its bytes equal those of the first; up to CONTEXT shorter lines on
+each side, which belong to chunks cut by the passage's surroundings, belong to it
+as far as they are the same as beside the first. Runs of repeated lines with
+LEAST_RUN words are removed; two short lines that happen to meet twice stay.
 
 Counting sends a hash for each chunk; texts travel only for chunks that repeat.
 A frequent chunk is counted before the shuffle, and its occurrences meet its text
@@ -31,12 +32,12 @@ from pyspark.sql import types as T
 from tabguard.llm.common import cut, quoted
 
 LONG = 30
-MIN_WORDS = 25
-DIVISOR = 3
-CONTEXT = 3
+MIN_WORDS = 10
+DIVISOR = 2
+CONTEXT = 8
+#: Words of a run of lines from which on it is a passage and goes.
+LEAST_RUN = 30
 LEAST_LEFT = 20
-#: Kept chunks whose places may be broadcast (some 100 bytes each); more are joined.
-BROADCAST_ROWS = 100_000
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int, bool]]:
@@ -109,13 +110,18 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"rid {RID}, start int, n int, hash long").distinct()
 
 
-def _passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """hash, the lines of the first occurrence, and the short lines before and after it."""
+def _passages(rows: DataFrame, kept: list[str], firsts: DataFrame) -> DataFrame:
+    """hash, the lines of the first occurrence, and the short lines before and after it.
+
+    All columns kept go through the join: the shuffle of the documents is then the same
+    as that of the last join, and Spark makes it once for both.
+    """
+    at, where = kept.index("text"), len(kept)
 
     def run(batches):
         for batch in batches:
             found = [[] for _ in range(4)]
-            for value, places in zip(batch.column(0), batch.column(1)):
+            for value, places in zip(batch.column(at), batch.column(where)):
                 lines = value.as_py().split("\n")
                 for p in places.as_py():
                     a, b = p["start"], p["start"] + p["n"]
@@ -128,11 +134,10 @@ def _passages(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             )
 
     places = firsts.groupBy("rid").agg(F.collect_list(F.struct("hash", "start", "n")).alias("places"))
-    if firsts.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    rows = _with_id(docs.select("doc_id", "text")).join(places, F.col("__rid") == F.col("rid")).select("text", "places")
+    found = rows.join(places, F.col("__rid") == F.col("rid")).select(*[quoted(c) for c in kept], "places")
     kinds = "hash long, lines array<string>, before array<string>, after array<string>"
-    return rows.mapInArrow(run, kinds).dropDuplicates(["hash"])
+    # rows of one doc_id and text hold the same passage
+    return found.mapInArrow(run, kinds).dropDuplicates(["hash"])
 
 
 def _while_short(lines: list[str]) -> list[str]:
@@ -156,6 +161,14 @@ def rewrite(text: str, repeats: list[dict]) -> tuple[str, int]:
         while b < len(lines) and b - end < len(r["after"]) and lines[b] == r["after"][b - end]:
             b += 1
         gone.update(range(a, b))
+    run: list[int] = []
+    for i in range(len(lines) + 1):
+        if i in gone:
+            run.append(i)
+        elif run:
+            if sum(len(lines[j].split()) for j in run) < LEAST_RUN:
+                gone.difference_update(run)
+            run = []
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
 
 
@@ -170,15 +183,18 @@ def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
     repeats = cut(
         found.join(firsts.toDF("fhash", "frid", "fstart", "fn"), F.col("hash") == F.col("fhash")).filter(~same).select("hash", "rid", "start")
     )
-    passages = cut(_passages(docs, firsts))
+    new = ("n_lines", "n_removed_lines", "kept")
+    kept = [c for c in docs.columns if c.lower() not in new]
+    rows = _with_id(docs)
+    # another key than that of the distinct hashes, so that both sides are dealt anew and Spark may split a frequent one
+    passages = _passages(rows, kept, firsts).withColumn("key", F.col("hash").bitwiseXOR(F.lit(1))).drop("hash")
     by_document = (
-        repeats.join(passages, "hash")
+        repeats.withColumn("key", F.col("hash").bitwiseXOR(F.lit(1)))
+        .join(passages, "key")
         .groupBy("rid")
         .agg(F.collect_list(F.struct("start", "lines", "before", "after")).alias("repeats"))
     )
-    new = ("n_lines", "n_removed_lines", "kept")
-    kept = [c for c in docs.columns if c.lower() not in new]
-    rows = _with_id(docs).join(by_document, F.col("__rid") == F.col("rid"), "left").select(*[quoted(c) for c in kept], "repeats")
+    rows = rows.join(by_document, F.col("__rid") == F.col("rid"), "left").select(*[quoted(c) for c in kept], "repeats")
     at, where = kept.index("text"), len(kept)
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(k, t) for k, t in zip(new, (T.LongType(), T.LongType(), T.BooleanType()))]])
 
