@@ -140,23 +140,41 @@ def _best(pairs: DataFrame, fields, kinds_a, kinds_b, tolerance, *more: str) ->
     return best.withColumn("match_level", level).select("match_level", "a", "b", "differences", *more)
 
 
+def _characters(text: Column) -> Column:
+    """The characters of a text, each with its number among the equal ones: a set."""
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.transform(letters, lambda c, i: F.concat(c, (i + 1 - F.array_position(letters, c)).cast("string")))
+
+
+def _prefixes(keys: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """p, t, token: the rarest characters of each key, one of which any partner must have.
+
+    A ratio of t or more needs t / (2 - t) of the key's characters in common, so two keys
+    that have none of their rarest (1 - t / (2 - t)) n + 1 characters in common are apart.
+    """
+    n = F.length("t")
+    tokens = keys.select("k", "p", "t", F.explode(_characters(F.col("t"))).alias("token")).join(counts, "token")
+    sorted_ = tokens.groupBy("k", "p", "t").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"))
+    needed = F.ceil(threshold / (2 - threshold) * n - 1e-9).cast("int")
+    return sorted_.select("k", "p", "t", F.inline(F.slice("x", 1, F.greatest(F.lit(1), n - needed + 1)))).drop("n")
+
+
 def _fuzzy_links(alone_a: DataFrame, alone_b: DataFrame, threshold: float) -> DataFrame:
     """(la, lb, similarity): keys of A, in order of appearance, take the most similar free key of B.
 
-    A matching ratio of t needs common characters, so pairs are found by a shared
-    character bigram or an equal short key; the bound by length comes first. The
-    assignment depends on its order, so it runs in sequence, within the groups of keys
-    that candidates connect.
+    Candidates share a rare character (see _prefixes), which loses no pair at the
+    threshold. The assignment depends on its order, so it runs in sequence, within the
+    groups of keys that candidates connect.
     """
-    key = lambda k: F.array_join(F.transform(k, lambda x: F.when(x == "null", "").otherwise(F.substr(x, F.lit(2)))), " ")
-    a = alone_a.groupBy("ka").agg(F.min("ra").alias("pa")).select("ka", "pa", key(F.col("ka")).alias("ta"))
-    b = alone_b.groupBy("kb").agg(F.min("rb").alias("pb")).select("kb", "pb", key(F.col("kb")).alias("tb"))
-    # a ratio above 0 needs a shared character; each pair is taken at its first shared one only
-    letters = lambda t: F.array_distinct(F.split(t, ""))
-    x = a.withColumn("letter", F.explode(letters(F.col("ta"))))
-    y = b.withColumn("letter", F.explode(letters(F.col("tb"))))
-    first = F.get(F.array_sort(F.array_intersect(letters(F.col("ta")), letters(F.col("tb")))), F.lit(0))
-    near = x.join(y, "letter").filter((length_bound(F.col("ta"), F.col("tb")) >= threshold) & (F.col("letter") == first))
+    words = lambda k: F.array_join(F.transform(k, lambda x: F.when(x == "null", "").otherwise(F.substr(x, F.lit(2)))), " ")
+    a = alone_a.groupBy("ka").agg(F.min("ra").alias("p")).select(F.col("ka").alias("k"), "p", words(F.col("ka")).alias("t"))
+    b = alone_b.groupBy("kb").agg(F.min("rb").alias("p")).select(F.col("kb").alias("k"), "p", words(F.col("kb")).alias("t"))
+    counts = a.select("t").union(b.select("t")).select(F.explode(_characters(F.col("t"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    x = _prefixes(a, counts, threshold).toDF("ka", "pa", "ta", "token")
+    y = _prefixes(b, counts, threshold).toDF("kb", "pb", "tb", "token")
+    near = x.join(y, "token").filter(length_bound(F.col("ta"), F.col("tb")) >= threshold).drop("token").distinct()
+    common = F.size(F.array_intersect(_characters(F.col("ta")), _characters(F.col("tb"))))
+    near = near.filter(2 * common >= threshold * (F.length("ta") + F.length("tb")) - 1e-9)
     found = near.withColumn("s", ratio(F.col("ta"), F.col("tb"))).filter(F.col("s") >= threshold)
     found = found.select("ka", "pa", "kb", "pb", "s")
 

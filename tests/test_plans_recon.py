@@ -1,5 +1,7 @@
+import random
+from difflib import SequenceMatcher
+
 import pytest
-from pyspark.sql import functions as F
 
 from tabguard.errors import PlanError, TableError
 from tabguard.operators import entity, reconcile
@@ -115,6 +117,24 @@ def test_variance_and_fuzzy_keys(table):
     assert sum(r["bucket"] == "matched" for r in got) == 3
 
 
+def test_fuzzy_keys_by_brute_force(table):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcde12 ") for _ in range(r.randint(3, 12))).strip() or "x"
+    left = sorted({word() for _ in range(60)})
+    right = sorted({"".join(c if r.random() < 0.9 else r.choice("abcde") for c in w).strip() or "y" for w in left} - set(left))
+    r.shuffle(left)
+    r.shuffle(right)
+    got = reconcile.reconcile(table(["k"], [[w] for w in left]), table(["k"], [[w] for w in right]), ["k"], fuzzy_keys=0.75)
+    pairs = {(x["a"]["k"], x["b"]["k"]) for x in got.filter("match_level = 'L3'").collect()}
+    want, free = set(), list(right)
+    for w in left:
+        best = max(free, key=lambda v: (SequenceMatcher(None, w, v).ratio(), -right.index(v)), default=None)
+        if best is not None and SequenceMatcher(None, w, best).ratio() >= 0.75:
+            want.add((w, best))
+            free.remove(best)
+    assert pairs == want and want
+
+
 def test_one_to_many_takes_the_closest(table):
     a, b = table(["k", "v"], [["x", 1], ["x", 2]]), table(["k", "v"], [["x", 1]])
     assert counts(reconcile.reconcile(a, b, ["k"])) == {"matched": 1, "discrepancy": 1}
