@@ -10,6 +10,7 @@ from tabguard.operators.anomaly import detect_anomalies
 from tabguard.operators.profile import profile
 from tabguard.operators.reconcile import bucket_counts, buckets, summary
 from tabguard.operators.validate import validate
+from tabguard.sources.xlsx import write_xlsx
 
 #: Points taken for each percent of rows affected, in order of priority.
 WEIGHTS = {"outlier": 0.8, "duplicate": 0.2, "mixed": 0.5, "format": 0.3, "missing": 0.4}
@@ -91,3 +92,21 @@ def reconciliation_frames(result: DataFrame) -> dict[str, DataFrame]:
     parts = buckets(result)
     parts["discrepancy"] = parts["discrepancy"].select("a", "b", "match_level", F.inline("differences"))
     return {"summary": summary(result), "counts": bucket_counts(result), **parts}
+
+
+def export_report(df: DataFrame, path: str, ruleset=None, sensitivity: float = 0.05, saved: dict | None = None) -> str:
+    """The frames of a report as the sheets of a new workbook."""
+    frames = report_frames(df, ruleset, sensitivity, saved)
+    return write_xlsx({k: _flat(v) for k, v in frames.items()}, path, MOST_DATA_ROWS)
+
+
+def export_reconciliation(result: DataFrame, path: str) -> str:
+    """The frames of a reconciliation as the sheets of a new workbook."""
+    return write_xlsx({k: _flat(v) for k, v in reconciliation_frames(result).items()}, path, MOST_DATA_ROWS)
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON, for cells that hold text."""
+    df = df.withColumnRenamed(ROW, "row_number")
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
+    return df.withColumns({c: F.to_json(col(c)) for c in nested}) if nested else df

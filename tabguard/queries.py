@@ -86,7 +86,7 @@ def plan_filter_text(spark, d):
     return execute_plan(read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), plan)
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 1 = 0) AND lower(o_orderpriority) = '1-urgent' ORDER BY o_orderkey LIMIT 300")
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND lower(o_orderpriority) = '1-urgent' ORDER BY o_orderkey LIMIT 300")
 def plan_filter_in(spark, d):
     plan = {
         "filters": [

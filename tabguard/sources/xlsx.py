@@ -112,7 +112,7 @@ def _cell(c, strings: list[str], dates: set[int]) -> str | None:
 
 def _header(path: str, sheet: str | None) -> list[str]:
     for _, cells in rows(path, sheet):
-        names, seen = [], set()
+        names, seen = [], {ROW}
         for i, c in enumerate(cells):
             name = str(c).strip() if c not in (None, "") else f"Unnamed: {i}"
             while name in seen:

@@ -3,6 +3,7 @@ import pytest
 from tabguard.errors import PlanError, TableError
 from tabguard.operators import anomaly, profile, report, validate
 from tabguard.plans.expressions import compile_expression
+from tabguard.sources.files import load
 
 FAULTS = {"gst": (5, 13, 21), "pan": (9, 25), "email": (7, 16), "phone": (29,)}
 CITIES = ("Pune", "Delhi", "Mumbai", "Chennai", "Kochi")
@@ -150,7 +151,8 @@ def test_health(spark):
     assert marks == {(2, "a"): "outlier", (3, "a"): "format", (3, "b"): "duplicate"}
 
 
-def test_report_frames(ledger):
-    frames = report.report_frames(ledger, "kyc")
-    assert frames["summary"].first()["score"] < 100
-    assert frames["data"].count() == 50
+def test_report(spark, ledger, tmp_path):
+    path = report.export_report(ledger, str(tmp_path / "r.xlsx"), "kyc")
+    assert float(load(spark, path, "summary", infer=False).first()["score"]) < 100
+    assert load(spark, path, "data").count() == 50
+    assert load(spark, path, "issues").filter("rule_name = 'duplicate_row'").count() == 2
