@@ -170,9 +170,16 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(_sigmoid(net.logits(unlabelled)).mean() / max(c, 1e-6), 0.05, 0.95))
 
 
-def _sample(rows: DataFrame, sample_rows: int, seed: int) -> DataFrame:
-    """At most sample_rows distinct doc_ids, the first by their hash."""
-    return rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)
+def _sample(rows: DataFrame, n: int, sample_rows: int, seed: int) -> list[int]:
+    """At most sample_rows distinct doc_ids of about n rows, the first by their hash.
+
+    Twice as many as are wanted pass a filter by the hash first: a task then sends few,
+    however many tasks there are.
+    """
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    few = rows.filter(draw < int(min(1.0, (2 * sample_rows + 100) / max(1, n)) * (1 << 40)))
+    chosen = few.select("doc_id", draw.alias("d")).distinct().orderBy("d", "doc_id").limit(sample_rows)
+    return [r["doc_id"] for r in chosen.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
@@ -188,9 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> N
     ).first()
     if not counts["good"]:
         return None
+    open_rows = docs.filter(learnable)
     chosen = [
-        [r["doc_id"] for r in _sample(known.filter("low = 1"), sample_rows, 1).collect()],
-        [r["doc_id"] for r in _sample(docs.filter(learnable), sample_rows, 2).collect()],
+        _sample(known.filter("low = 1"), counts["good"], sample_rows, 1),
+        _sample(open_rows, open_rows.count(), sample_rows, 2),
     ]
     spark = docs.sparkSession
     # at most 2 * sample_rows identifiers
