@@ -133,8 +133,8 @@ def _passages(rows: DataFrame, kept: list[str], firsts: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(found, (pa.int64(), strings, strings, strings))], names=["hash", "lines", "before", "after"]
             )
 
-    places = firsts.groupBy("rid").agg(F.collect_list(F.struct("hash", "start", "n")).alias("places"))
-    found = rows.join(places, F.col("__rid") == F.col("rid")).select(*[quoted(c) for c in kept], "places")
+    places = firsts.groupBy(F.col("rid").alias("__owner")).agg(F.collect_list(F.struct("hash", "start", "n")).alias("__places"))
+    found = rows.join(places, F.col("__rid") == F.col("__owner")).select(*[quoted(c) for c in kept], "__places")
     kinds = "hash long, lines array<string>, before array<string>, after array<string>"
     # rows of one doc_id and text hold the same passage
     return found.mapInArrow(run, kinds).dropDuplicates(["hash"])
@@ -191,10 +191,10 @@ def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
     by_document = (
         repeats.withColumn("key", F.col("hash").bitwiseXOR(F.lit(1)))
         .join(passages, "key")
-        .groupBy("rid")
-        .agg(F.collect_list(F.struct("start", "lines", "before", "after")).alias("repeats"))
+        .groupBy(F.col("rid").alias("__owner"))
+        .agg(F.collect_list(F.struct("start", "lines", "before", "after")).alias("__repeats"))
     )
-    rows = rows.join(by_document, F.col("__rid") == F.col("rid"), "left").select(*[quoted(c) for c in kept], "repeats")
+    rows = rows.join(by_document, F.col("__rid") == F.col("__owner"), "left").select(*[quoted(c) for c in kept], "__repeats")
     at, where = kept.index("text"), len(kept)
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(k, t) for k, t in zip(new, (T.LongType(), T.LongType(), T.BooleanType()))]])
 

@@ -128,7 +128,7 @@ def shared():
 
 def test_passages_stay_once(spark, shared):
     rows, long, block = shared
-    df = spark.createDataFrame([*rows, (100, None), (101, "")], "doc_id long, text string").selectExpr("*", "'k' AS kept", "1 AS hash")
+    df = spark.createDataFrame([*rows, (100, None), (101, "")], "doc_id long, text string").selectExpr("*", "'k' AS kept", "1 AS hash", "2 AS rid", "3 AS repeats", "4 AS lines")
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
     assert len(got) == 62 and got[100]["text"] is None and got[101]["text"] == ""
     texts = [got[i]["text"].split("\n") for i, _ in rows]
