@@ -43,8 +43,8 @@ SHINGLE = 3
 #: A link: 100 * size of the intersection >= PERCENT * size of the union.
 PERCENT = 85
 BANDS, ROWS = 32, 6
-#: Elements of sets that one block of an open bucket holds, about.
-BLOCK_ELEMENTS = 150_000
+#: Elements of sets, and sets, that one block of an open bucket holds, about.
+BLOCK_ELEMENTS, BLOCK_ROWS = 100_000, 400
 #: Identifiers that may be broadcast (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 20
@@ -221,7 +221,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
         owner, element = owner[order], element[order]
         renumbered = np.cumsum(np.concatenate([[0], np.diff(element) > 0])) if len(element) else element
         common = np.zeros((len(rows), len(rows)), np.float32)
-        step = max(256, 4_000_000 // max(1, len(rows)))
+        step = max(256, 2_000_000 // max(1, len(rows)))
         at = 0
         while at < len(owner):
             end = np.searchsorted(renumbered, renumbered[at] + step)
@@ -267,9 +267,9 @@ def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     )
     wide = cut(
         named.groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("elements"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("elements"), F.count("*").alias("rows"))
         .filter("low < high")
-        .select(F.col("bucket"), F.greatest(F.lit(1), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+        .select("bucket", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("blocks"))
     )
     rows = named.join(wide, "bucket")
     block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")

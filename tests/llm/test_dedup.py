@@ -54,7 +54,9 @@ def corpus():
     return list(enumerate(texts, 10))
 
 
-def test_near_duplicates_as_all_pairs(spark, corpus):
+@pytest.mark.parametrize("rows_a_block", [400, 7])
+def test_near_duplicates_as_all_pairs(spark, corpus, monkeypatch, rows_a_block):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows_a_block)
     df = spark.createDataFrame(corpus, "doc_id long, text string").selectExpr("*", "'q' AS n_shingles", "0 AS node")
     got = {r["doc_id"]: r for r in minhash.near_duplicates(df).collect()}
     want = brute(corpus)
