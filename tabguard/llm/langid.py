@@ -206,6 +206,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
             (draw(1) * F.element_at(n_of, F.col("lang"))).alias("__draw"),
             F.array(*[part(i) for i in range(WINDOWS_PER_ROW)]).alias("__parts"),
         )
+        # twice as many rows as are wanted pass, so that a task sends few, however many tasks there are
+        .filter(F.col("__draw") < 2 * sample_rows / len(frequency))
         .orderBy("__draw", "lang", "__parts")
         .limit(sample_rows)
         .collect()
