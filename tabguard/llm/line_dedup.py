@@ -1,21 +1,21 @@
-"""Removal of passages that repeat anywhere in the corpus, by content-defined chunks of lines.
-
-Each line is hashed. A chunk ends after a line where a rolling hash over the last
-two lines is divisible by DIVISOR, so the boundaries inside a passage are the same
-wherever it stands; a line of LONG words or more is a chunk by itself. Chunks of
-several lines with MIN_WORDS words, and long lines, are looked for in the whole
-corpus by hash. The first occurrence (by doc_id, then position) stays. Another one
-is a repeat if its bytes equal those of the first; up to CONTEXT shorter lines on
-each side, which belong to chunks cut by the passage's surroundings, belong to it
-as far as they are the same as beside the first. Runs of repeated lines with
-LEAST_RUN words are removed; two short lines that happen to meet twice stay.
-
-Counting sends a hash for each chunk; texts travel only for chunks that repeat.
-A frequent chunk is counted before the shuffle, and its occurrences meet its text
+"""Removal of passages that repeat anywhere in the corpus, by windows of lines.
+
+From each line with a word a window goes down, and another up, as far as MIN_WORDS
+words need; a line with that many is a window by itself. So the windows inside a
+passage are the same wherever it stands, and cover each of its lines. Windows are
+looked for in the whole corpus by hash. The first occurrence (by doc_id, then
+position) stays. Another one is a repeat if its bytes equal those of the first; where
+both lie in one document and overlap, what belongs to the first stays. Up to CONTEXT
+lines without a word on each side go along, as far as they are the same as beside the
+first, and so do such lines between two repeats. Runs of repeated lines with LEAST_RUN
+words are removed; two short lines that happen to meet twice stay.
+
+Counting sends a hash for each window; texts travel only for windows that repeat.
+A frequent window is counted before the shuffle, and its occurrences meet its text
 in a join that Spark may split.
 
 Defined cases: a null text stays null; an empty text stays; very long texts are
-chunked whole; rows of the same doc_id and text are one document and are treated
+gone through whole; rows of the same doc_id and text are one document and are treated
 alike; a null doc_id comes last; kept is false for documents of which less than
 LEAST_LEFT percent of the words are left; an empty table gives an empty result;
 other columns pass through, and one that bears the name of an output gives way.
@@ -31,40 +31,32 @@ from pyspark.sql import types as T
 
 from tabguard.llm.common import cut, quoted
 
-LONG = 30
 MIN_WORDS = 10
-DIVISOR = 2
 CONTEXT = 8
 #: Words of a run of lines from which on it is a passage and goes.
 LEAST_RUN = 30
 LEAST_LEFT = 20
 
 
-def chunks(lines: list[str]) -> list[tuple[int, int, bool]]:
-    """Start, number of lines, and whether repeats of it are to be found."""
-    out, start, total, before = [], 0, 0, 0
-
-    def close(end: int) -> None:
-        nonlocal start, total
-        if end > start:
-            out.append((start, end - start, total >= MIN_WORDS and (end - start > 1 or total >= LONG)))
-        start, total = end, 0
-
-    for i, line in enumerate(lines):
-        n = len(line.split())
-        if n >= LONG:
-            close(i)
-            total = n
-            close(i + 1)
-            before = 0
-        elif n:
-            h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-            total += n
-            if xxhash.xxh64_intdigest(before.to_bytes(8, "little") + h.to_bytes(8, "little")) % DIVISOR == 0:
-                close(i + 1)
-            before = h
-    close(len(lines))
-    return out
+def chunks(lines: list[str]) -> list[tuple[int, int, int]]:
+    """Start, number of lines and hash of each window."""
+    words = [(i, n) for i, line in enumerate(lines) if (n := len(line.split()))]
+    found: set[tuple[int, int]] = set()
+    for k, (i, n) in enumerate(words):
+        if n >= MIN_WORDS:
+            found.add((i, i + 1))
+            continue
+        total, j = n, k
+        while total < MIN_WORDS and (j := j + 1) < len(words):
+            total += words[j][1]
+        if total >= MIN_WORDS:
+            found.add((i, words[j][0] + 1))
+        total, j = n, k
+        while total < MIN_WORDS and (j := j - 1) >= 0:
+            total += words[j][1]
+        if total >= MIN_WORDS:
+            found.add((words[j][0], i + 1))
+    return [(a, b - a, _hash(lines[a:b])) for a, b in sorted(found)]
 
 
 def _hash(lines: list[str]) -> int:
@@ -72,10 +64,6 @@ def _hash(lines: list[str]) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _short(line: str) -> bool:
-    return len(line.split()) < LONG
-
-
 def _with_id(docs: DataFrame) -> DataFrame:
     """docs with __rid, the order and identity of a document."""
     rid = F.struct(
@@ -95,12 +83,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             rows, starts, sizes, hashes = [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 lines = (value.as_py() or "").split("\n")
-                for start, n, counts in chunks(lines):
-                    if counts:
-                        rows.append(i)
-                        starts.append(start)
-                        sizes.append(n)
-                        hashes.append(_hash(lines[start : start + n]))
+                for start, n, value in chunks(lines):
+                    rows.append(i)
+                    starts.append(start)
+                    sizes.append(n)
+                    hashes.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())],
                 names=["rid", "start", "n", "hash"],
@@ -111,7 +98,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _passages(rows: DataFrame, kept: list[str], firsts: DataFrame) -> DataFrame:
-    """hash, the lines of the first occurrence, and the short lines before and after it.
+    """hash, the lines of the first occurrence, and the lines without a word before and after it.
 
     All columns kept go through the join: the shuffle of the documents is then the same
     as that of the last join, and Spark makes it once for both.
@@ -126,7 +113,7 @@ def _passages(rows: DataFrame, kept: list[str], firsts: DataFrame) -> DataFrame:
                 for p in places.as_py():
                     a, b = p["start"], p["start"] + p["n"]
                     before, after = lines[max(0, a - CONTEXT) : a][::-1], lines[b : b + CONTEXT]
-                    for column, x in zip(found, (p["hash"], lines[a:b], _while_short(before), _while_short(after))):
+                    for column, x in zip(found, (p["hash"], lines[a:b], _while_blank(before), _while_blank(after))):
                         column.append(x)
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -140,9 +127,9 @@ def _passages(rows: DataFrame, kept: list[str], firsts: DataFrame) -> DataFrame:
     return found.mapInArrow(run, kinds).dropDuplicates(["hash"])
 
 
-def _while_short(lines: list[str]) -> list[str]:
+def _while_blank(lines: list[str]) -> list[str]:
     for i, x in enumerate(lines):
-        if not _short(x):
+        if x.split():
             return lines[:i]
     return lines
 
@@ -160,15 +147,21 @@ def rewrite(text: str, repeats: list[dict]) -> tuple[str, int]:
         end = b
         while b < len(lines) and b - end < len(r["after"]) and lines[b] == r["after"][b - end]:
             b += 1
-        gone.update(range(a, b))
+        gone.update(range(max(a, r.get("least", 0)), b))
     run: list[int] = []
-    for i in range(len(lines) + 1):
-        if i in gone:
-            run.append(i)
-        elif run:
-            if sum(len(lines[j].split()) for j in run) < LEAST_RUN:
+    size, last = 0, -1
+    for i in [*sorted(gone), len(lines)]:
+        if run and (i == len(lines) or any(lines[j].split() for j in range(last + 1, i))):
+            if size < LEAST_RUN:
                 gone.difference_update(run)
-            run = []
+            run, size = [], 0
+        if i < len(lines):
+            if run:
+                gone.update(range(last + 1, i))
+                run += range(last + 1, i)
+            run.append(i)
+            size += len(lines[i].split())
+            last = i
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
 
 
@@ -180,8 +173,10 @@ def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
         found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").select("hash", "first.*")
     )
     same = F.struct("rid", "start") == F.struct("frid", "fstart")
+    # where the first occurrence ends, if it is in the same document
+    least = F.when(F.col("rid") == F.col("frid"), F.col("fstart") + F.col("fn")).otherwise(0).alias("least")
     repeats = cut(
-        found.join(firsts.toDF("fhash", "frid", "fstart", "fn"), F.col("hash") == F.col("fhash")).filter(~same).select("hash", "rid", "start")
+        found.join(firsts.toDF("fhash", "frid", "fstart", "fn"), F.col("hash") == F.col("fhash")).filter(~same).select("hash", "rid", "start", least)
     )
     new = ("n_lines", "n_removed_lines", "kept")
     kept = [c for c in docs.columns if c.lower() not in new]
@@ -192,7 +187,7 @@ def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
         repeats.withColumn("key", F.col("hash").bitwiseXOR(F.lit(1)))
         .join(passages, "key")
         .groupBy(F.col("rid").alias("__owner"))
-        .agg(F.collect_list(F.struct("start", "lines", "before", "after")).alias("__repeats"))
+        .agg(F.collect_list(F.struct("start", "least", "lines", "before", "after")).alias("__repeats"))
     )
     rows = rows.join(by_document, F.col("__rid") == F.col("__owner"), "left").select(*[quoted(c) for c in kept], "__repeats")
     at, where = kept.index("text"), len(kept)

@@ -176,3 +176,30 @@ def test_rewrite_compares_bytes():
     assert line_dedup.rewrite(text, [{**same, "lines": [b, c.upper()]}]) == (text, 0)
     short = {"start": 0, "lines": ["a"], "before": [], "after": []}
     assert line_dedup.rewrite(text, [short]) == (text, 0)
+
+
+SHAPES = [(2, 29), (2, 26), (3, 18), (4, 13), (4, 20), (5, 11), (6, 9), (8, 7), (13, 4), (18, 3)]
+
+
+def test_passages_of_short_lines_are_found(spark):
+    """Wherever it stands, the second copy goes whole and nothing else does."""
+    r = random.Random(6)
+    rows, want = [], {}
+    for k in range(200):
+        n_lines, words = SHAPES[k % len(SHAPES)]
+        block = passage(r, n_lines, words)
+        if k % 4 == 3:  # paragraphs
+            block = [x for line in block for x in (line, "")][:-1]
+        for i in (2 * k, 2 * k + 1):
+            above, below = passage(r, r.randint(0, 4), 9), passage(r, r.randint(7, 9), 9)
+            rows.append((i, "\n".join(above + block + below)))
+            want[i] = "\n".join(above + below) if i % 2 else rows[-1][1]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+
+
+def test_a_passage_that_overlaps_itself_stays_once(spark):
+    a, b = passage(random.Random(1), 2, 20)
+    got = line_dedup.line_dedup(spark.createDataFrame([(1, "\n".join([a, b] * 4)), (2, "x y\n" * 30)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: f"{a}\n{b}", 2: "x y\n" * 5}
+    assert [(x, n) for x, n, _ in line_dedup.chunks(["x y"] * 6 + ["", "z"])] == [(0, 5), (1, 5), (1, 7)]
