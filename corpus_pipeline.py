@@ -11,6 +11,8 @@ from tabguard.llm.common import cut, table
 
 #: No SQL: the language model, the byte-pair merges and the hashes have no twin there.
 ORACLE_SQL = None
+#: Near-duplicates share 80 percent of their shingles of five words; 40 bands of 5 rows lose such a link with a chance of 1.3e-7.
+PERCENT, SHINGLE, BANDS, ROWS = 80, 5, 40, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of each group of near-duplicates."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), PERCENT, SHINGLE, BANDS, ROWS)
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 

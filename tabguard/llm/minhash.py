@@ -16,7 +16,8 @@
    links between different components leave it.
 6. Components by contraction; the links never leave the executors.
 
-A link of similarity 0.85 shares no band, and is lost, with a chance of 3e-7.
+A link of similarity 0.85 shares no band, and is lost, with a chance of 3e-7; for a
+lower PERCENT, bands and rows are parameters as well.
 Shingles are compared by 64-bit hashes.
 
 Defined cases: a null or empty text, or one of white space, has an empty set and is
@@ -29,6 +30,7 @@ bears the name of an output gives way.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -127,23 +129,33 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    first = np.searchsorted(found, _EDGES)
+@functools.cache
+def _bins(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower edges of n bins, and the order in which each looks for a bin that isn't empty."""
+    if n == BANDS * ROWS:
+        return _EDGES, _PROBES
+    probes = np.random.default_rng(n).permuted(np.tile(np.arange(n), (n, 1)), axis=1)
+    return (np.arange(n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64), probes
+
+
+def signature(found: np.ndarray, bins: int = BANDS * ROWS) -> np.ndarray:
+    edges, probes = _bins(bins)
+    first = np.searchsorted(found, edges)
     last = np.append(first[1:], len(found))
     full = last > first
     out = found[np.minimum(first, len(found) - 1)].copy()
     empty = np.flatnonzero(~full)
     if len(empty):
-        source = _PROBES[empty, full[_PROBES[empty]].argmax(1)]
+        source = probes[empty, full[probes[empty]].argmax(1)]
         out[empty] = out[source]
     return out
 
 
-def bucket_keys(found: np.ndarray) -> np.ndarray:
-    rows = signature(found).reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _FACTOR
-    for i in range(ROWS):
-        h = _mix((h + rows[:, i]) * _TURN[i + 8])
+def bucket_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    values = signature(found, bands * rows).reshape(bands, rows)
+    h = np.arange(1, bands + 1, dtype=np.uint64) * _FACTOR
+    for i in range(rows):
+        h = _mix((h + values[:, i]) * _TURN[i + 8])
     return h.view(np.int64)
 
 
@@ -155,7 +167,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (both - common)
 
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
+def _sketches(docs: DataFrame, size: int, n_bands: int, n_rows: int) -> DataFrame:
     """doc_id, n_shingles, key (of the whole set; null if empty), bands."""
 
     def run(batches):
@@ -166,7 +178,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 ids.append(i.as_py())
                 counts.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(bucket_keys(s) if len(s) else [])
+                bands.append(bucket_keys(s, n_bands, n_rows) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "key", "bands"],
@@ -278,9 +290,9 @@ def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(pair.alias("g"), F.col("block").alias("side"), "node", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for each row."""
-    sketches = cut(_sketches(docs, size))
+    sketches = cut(_sketches(docs, size, n_bands, n_rows))
     some = sketches.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     nodes = cut(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n")))
     # rows of one doc_id with different sets belong together as well

@@ -33,3 +33,18 @@ def test_stages(spark):
     assert clean <= kept["line dedup"] and 500 not in kept["line dedup"]
     assert clean - {5} <= kept["MinHash near-dedup"]
     assert {"ids", "n_tokens", "decoded"} <= set(docs.columns)
+
+
+def test_copies_with_a_block_more_go(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(40):
+        text = " ".join(r.choices(words, k=200))
+        rows += [(2 * i, text), (2 * i + 1, text + "\n" + " ".join(r.choices(words, k=45)))]
+    # three words changed apart leave 0.73 of 100 words' shingles
+    w = r.choices(words, k=100)
+    other = [f"x{i}" if i in (20, 50, 80) else x for i, x in enumerate(w)]
+    rows += [(100, " ".join(w)), (101, " ".join(other))]
+    got = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
+    assert {x["doc_id"] for x in got.collect()} == {*range(0, 80, 2), 100, 101}
