@@ -19,7 +19,7 @@ Defined cases: vectors that are null, or hold a null or non-finite component, ta
 no part; vectors of unequal length count as padded with zeros; an empty vector has
 score 0 with all; equal scores go to the smaller identifier; rows with a null
 identifier take no part; repeated identifiers are candidates each, but never of a
-query with the same identifier; a query with fewer than k candidates gets all; an
+query with the same identifier; of repeated queries the one with the least vector asks; a query with fewer than k candidates gets all; an
 empty table gives an empty result. Scores beyond 64 bits raise OverflowError.
 """
 
@@ -136,7 +136,8 @@ def top_k(
     block = lambda n, seed: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select(block(blocks, 1).alias("b"), every(query_blocks).alias("a"), "id", "v")
-    queries = rows.filter("asks").select(block(query_blocks, 2).alias("a"), every(blocks).alias("b"), "id", "v")
+    asking = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
+    queries = asking.select(block(query_blocks, 2).alias("a"), every(blocks).alias("b"), "id", "v")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

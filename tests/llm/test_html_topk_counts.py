@@ -114,3 +114,12 @@ def test_top_k_of_few(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 100), (0, 2, 1), (100, 1, 1), (100, 2, 0)]
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_repeated_queries_ask_once(spark):
+    rows = [(100, [2.0, 1.0]), (100, [1.0, 3.0]), *[(i, [float(i), 1.0]) for i in range(1, 13)], (7, [50.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect())
+    # the least vector asks; a repeated candidate stands for itself
+    assert [x[1] for x in got] == [7, 12, 11, 10, 9, 8, 7, 6, 5, 4]
+    assert [x[2] for x in got] == [(x + 3) << 20 for x in (47 + 0, 12, 11, 10, 9, 8, 7, 6, 5, 4)]
