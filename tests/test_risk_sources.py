@@ -178,3 +178,14 @@ def test_streams(spark, tmp_path):
     assert len(drain(quality_stream.first_sightings(stream, "v", "t", "1 day"), "firsts", "append")) == 19
     with pytest.raises(TableError):
         quality_stream.validate_stream(stream, {"unique": ["v"]})
+
+
+def test_the_query_trains_on_all_labelled_rows(spark, monkeypatch):
+    from tabguard import queries
+
+    rows = [(k, n, float(k * n % 50), k % 10 / 100, float(k), "R" if n % 2 else "N") for k in range(1, 60) for n in range(1, 8)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double, l_returnflag string")
+    monkeypatch.setattr(queries, "read", lambda *_: df)
+    monkeypatch.setattr(risk, "train", lambda rows, *_, **settings: (rows.count(), settings))
+    monkeypatch.setattr(risk, "score", lambda rows, count, settings: (rows.count(), count, settings))
+    assert queries.queries()["risk_score"](spark, "") == (413, 413, {})
