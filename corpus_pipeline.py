@@ -16,8 +16,10 @@ PERCENT, SHINGLE, BANDS, ROWS = 80, 5, 40, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter are rejected."""
+    """Documents in a learned language; those without a letter are rejected, and only those if there is nothing to learn from."""
     model = langid.fit(docs)
+    if model is None:  # no row to learn from
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return langid.identify(docs, model).filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 

@@ -48,3 +48,10 @@ def test_copies_with_a_block_more_go(spark):
     rows += [(100, " ".join(w)), (101, " ".join(other))]
     got = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
     assert {x["doc_id"] for x in got.collect()} == {*range(0, 80, 2), 100, 101}
+
+
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    rows = [(1, "plain words", None, "s", 0), (2, "123 456", None, "s", 0), (3, None, None, "s", 0), (4, "\u4e16", None, "s", 0), (5, "", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.language(spark, docs, None)
+    assert got.columns == docs.columns and {x["doc_id"] for x in got.collect()} == {1, 4}
