@@ -24,6 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Parts into which the nodes that go to one and the same node are split.
+SALTS = 8
+
+
+def _salted(df: DataFrame, key: str, spread: str, table: DataFrame, value: str) -> DataFrame:
+    """df with the value that table has for each key; a frequent key is dealt to SALTS parts."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    copies = table.select(F.col(table.columns[0]).alias(key), F.col(table.columns[1]).alias(value), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return df.withColumn("salt", salt).join(copies, [key, "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the least node of its component, for the nodes of edges (a, b).
 
@@ -36,13 +47,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a")).toDF("node", "to")
         near = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")))
-        jump = near.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        moved = cut(near.join(jump, "up").select("node", F.col("next").alias("up")))
+        # where the few nodes go that others go to
+        goals = near.select("up").distinct().withColumnRenamed("up", "node")
+        moved = cut(_salted(near, "up", "node", near.join(goals, "node", "left_semi"), "next").select("node", F.col("next").alias("up")))
         if labels is None:
             labels = moved.select("node", F.col("up").alias("label"))
         else:
-            old = labels.join(moved.withColumnRenamed("node", "label"), "label", "left")
-            labels = cut(old.select("node", F.coalesce("up", "label").alias("label")))
+            labels = cut(_salted(labels, "label", "node", moved, "up").select("node", F.coalesce("up", "label").alias("label")))
         ends = edges.join(moved.toDF("a", "x"), "a").join(moved.toDF("b", "y"), "b").select("x", "y")
         # where a node went may itself have gone on
         heads = moved.select("up").distinct().join(moved.toDF("up", "next"), "up").select(F.col("up").alias("x"), F.col("next").alias("y"))
