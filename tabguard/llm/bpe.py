@@ -8,7 +8,8 @@ than SHORT symbols, where the repeated search would be quadratic, get the same
 merges in the same order from a heap over a linked list.
 
 The text is cut at white space, which no token crosses, and what a piece became
-is remembered in a bounded table per worker process.
+is remembered, as packed 32-bit ids, in tables that are bounded in bytes and are
+given up when a task ends.
 
 Defined cases: a null text is the empty text and has no tokens; very long texts
 and words are encoded whole; repeated rows are encoded alike; an empty table
@@ -23,21 +24,25 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tabguard.llm.common import map_arrow, quoted, slices
+
 #: Fixed value: the tokenizer's white space, the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the tokenizer's pattern for words.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 SHORT = 96
-#: Entries of each generation of the tables of known pieces and words.
-PIECE_ENTRIES, WORD_ENTRIES = 200_000, 200_000
+#: Bytes, about, of each of the two generations of the tables of known pieces and words.
+KNOWN_BYTES = 12 << 20
 NO_MERGE = 1 << 60
 _ID = (1 << 20) - 1
 
@@ -55,21 +60,28 @@ def byte_alphabet() -> list[str]:
 
 
 class Known:
-    """A bounded table in two generations; what is asked for again outlives the older one."""
+    """A table of texts and their packed ids, bounded in bytes, in two generations.
+
+    What is asked for again outlives the older generation.
+    """
+
+    #: What an entry takes besides its text and ids.
+    EACH = 160
 
-    def __init__(self, entries: int):
-        self.entries, self.young, self.old = entries, {}, {}
+    def __init__(self, most: int):
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
 
-    def get(self, key):
+    def get(self, key: str) -> bytes | None:
         value = self.young.get(key)
         if value is None and (value := self.old.get(key)) is not None:
             self.put(key, value)
         return value
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.young, self.old = {}, self.young
+    def put(self, key: str, value: bytes) -> None:
+        if self.size >= self.most:
+            self.young, self.old, self.size = {}, self.young, 0
         self.young[key] = value
+        self.size += self.EACH + 4 * len(key) + len(value)
 
 
 class Tokenizer:
@@ -95,11 +107,12 @@ class Tokenizer:
         self.token |= {i: t for t, i in special.items()}
         self.special = special
         self.specials = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) or r"(?!)")
-        self.text_of_id = {i: str(i) for i in self.token}
         self.pieces = regex.compile(PIECES)
         self.gaps = regex.compile(f"[{SPACE}]+")
-        self.known_pieces = Known(PIECE_ENTRIES)
-        self.known_words = Known(WORD_ENTRIES)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known_pieces, self.known_words = Known(KNOWN_BYTES), Known(KNOWN_BYTES)
 
     def word(self, symbols: bytes) -> list[int]:
         """The ids of one word, given in UTF-8."""
@@ -145,8 +158,8 @@ class Tokenizer:
                     heapq.heappush(heap, (rank[k], a, k))
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of a text without white space."""
+    def _piece(self, piece: str) -> bytes:
+        """The packed ids of a text without white space."""
         if piece.isascii():
             plain = piece.lower()
         else:
@@ -157,24 +170,24 @@ class Tokenizer:
         elif plain[:-1].isalpha() and plain[-1] in ".,":
             ids = self._word(plain[:-1]) + self._word(plain[-1])
         else:
-            ids = tuple(chain.from_iterable(map(self._word, self.pieces.findall(plain))))
+            ids = b"".join(map(self._word, self.pieces.findall(plain)))
         if len(piece) <= SHORT:
             self.known_pieces.put(piece, ids)
         return ids
 
-    def _word(self, w: str) -> tuple[int, ...]:
+    def _word(self, w: str) -> bytes:
         ids = self.known_words.get(w)
         if ids is None:
-            ids = tuple(self.word(w.encode()))
+            ids = array("i", self.word(w.encode())).tobytes()
             if len(w) <= SHORT:
                 self.known_words.put(w, ids)
         return ids
 
-    def _ordinary(self, text: str) -> list[int]:
+    def _ordinary(self, text: str) -> list[bytes]:
         known = self.known_pieces.young.get
         older = self.known_pieces.get
         pieces = text.split() if not _ODD.search(text) else self.gaps.split(text)
-        out: list[int] = []
+        out: list[bytes] = []
         for p in pieces:
             ids = known(p)
             if ids is None:
@@ -182,32 +195,40 @@ class Tokenizer:
                 if ids is None:
                     ids = self._piece(p)
                 known = self.known_pieces.young.get
-            out += ids
+            out.append(ids)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def pack(self, text: str) -> bytes:
+        """The ids of a text, 32 bits each."""
         if "<|" not in text:
-            return self._ordinary(text)
+            return b"".join(self._ordinary(text))
         out, at = [], 0
         for m in self.specials.finditer(text):
             out += self._ordinary(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out.append(array("i", [self.special[m[0]]]).tobytes())
             at = m.end()
-        return out + self._ordinary(text[at:])
+        return b"".join(out + self._ordinary(text[at:]))
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, text: str) -> list[int]:
+        return unpacked(self.pack(text)).tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by a space: the file names no decoder."""
         return " ".join(map(self.token.__getitem__, ids))
 
-    def spelled(self, ids: list[int]) -> str:
-        return " ".join(map(self.text_of_id.__getitem__, ids))
+    def spelled(self, ids: Iterable[int]) -> str:
+        return " ".join(map(str, ids))
+
+
+def unpacked(ids: bytes) -> memoryview:
+    return memoryview(ids).cast("i")
 
 
 #: Where str.split() would cut and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
@@ -224,51 +245,47 @@ OUTPUTS = {
     "ids_sha256": (T.StringType(), pa.string()),
     "decoded_sha256": (T.StringType(), pa.string()),
 }
-#: Characters of text that are encoded before a batch of rows is handed on.
-BATCH_CHARS = 4_000_000
 
 
 def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "n_tokens"), text: str = "text") -> DataFrame:
     """docs with the outputs named, each computed from the whole text."""
     kept = [c for c in docs.columns if c.lower() not in outputs]
-    carried = docs.select(*["`" + c.replace("`", "``") + "`" for c in kept])
+    carried = docs.select(*[quoted(c) for c in kept])
     schema = T.StructType([*carried.schema.fields, *[T.StructField(k, OUTPUTS[k][0]) for k in outputs]])
-    at = kept.index(text)
+    at, names = kept.index(text), [f.name for f in schema.fields]
 
     def run(batches):
         coder = tokenizer(path)
         for batch in batches:
-            for part in _parts(batch, at):
-                found = {k: [] for k in outputs}
-                for value in part.column(at):
-                    ids = coder.encode(value.as_py() or "")
-                    back = coder.decode(ids) if {"decoded", "decoded_sha256"} & found.keys() else ""
-                    for k, out in found.items():
-                        out.append(
-                            ids
-                            if k == "ids"
-                            else len(ids)
-                            if k == "n_tokens"
-                            else back
-                            if k == "decoded"
-                            else _digest(coder.spelled(ids) if k == "ids_sha256" else back)
-                        )
-                columns = [pa.array(found[k], OUTPUTS[k][1]) for k in outputs]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[f.name for f in schema.fields])
-
-    return carried.mapInArrow(run, schema)
-
-
-def _parts(batch: pa.RecordBatch, at: int):
-    """Slices of a batch with a bounded amount of text each, one row at least."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > BATCH_CHARS:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield batch.slice(start)
+            for part in slices(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, *_coded(coder, part.column(at), outputs)], names=names)
+        coder.forget()
+
+    return map_arrow(carried, run, schema)
+
+
+def _coded(coder: Tokenizer, texts: pa.Array, outputs: tuple[str, ...]) -> list[pa.Array]:
+    found = {k: [] for k in outputs}
+    for value in texts:
+        packed = coder.pack(value.as_py() or "")
+        ids = unpacked(packed)
+        back = coder.decode(ids) if {"decoded", "decoded_sha256"} & found.keys() else ""
+        for k, out in found.items():
+            if k == "ids":
+                out.append(packed)
+            elif k == "n_tokens":
+                out.append(len(ids))
+            elif k == "decoded":
+                out.append(back)
+            else:
+                out.append(_digest(coder.spelled(ids) if k == "ids_sha256" else back))
+    return [_lists(found[k]) if k == "ids" else pa.array(found[k], OUTPUTS[k][1]) for k in outputs]
+
+
+def _lists(packed: list[bytes]) -> pa.Array:
+    """Lists of 32-bit numbers over one buffer."""
+    ends = array("i", accumulate((len(x) // 4 for x in packed), initial=0))
+    values = b"".join(packed)
+    flat = pa.Array.from_buffers(pa.int32(), len(values) // 4, [None, pa.py_buffer(values)])
+    offsets = pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends.tobytes())])
+    return pa.ListArray.from_arrays(offsets, flat)

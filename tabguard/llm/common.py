@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,8 @@ from tabguard.operators.graph import cut  # noqa: F401
 SPACES = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of text and rows that a slice of an Arrow batch holds, about.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +48,58 @@ def append(df: DataFrame, **columns: Column) -> DataFrame:
 
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def shielded(df: DataFrame, needed: tuple[str, ...], new: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(df), where other columns than those needed bear names that clash with none and then get their own back.
+
+    Columns with the names of new ones give way.
+    """
+    gone = {c.lower() for c in new}
+    inner, back = [], {}
+    for i, c in enumerate(df.columns):
+        if c.lower() in gone:
+            continue
+        name = c.lower() if c.lower() in needed else f"__{i}_"
+        inner.append(quoted(c).alias(name))
+        back[name] = c
+    out = work(df.select(*inner))
+    return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns])
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema); run finds the columns by place.
+
+    At the end of a task its memory goes back to the system, as workers outlive tasks.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        free()
+
+    # names with dots or repeated ones can't be resolved there
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(whole, schema)
+
+
+def free() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
+@cache
+def _malloc_trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # another C library has none
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded amount of text in column at, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield batch.slice(start)

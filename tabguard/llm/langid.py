@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabguard.llm.common import held_out, quoted
+from tabguard.llm.common import held_out, map_arrow, quoted, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -185,11 +184,6 @@ class Scorer:
         return names, scores.tolist()
 
 
-@lru_cache(maxsize=2)
-def scorer(model: Model) -> Scorer:
-    return Scorer(model)
-
-
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from the labelled rows that are not held out; None if there are none."""
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -231,14 +225,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = T.StructType([*kept.schema.fields, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
 
     def run(batches):
-        apply = scorer(model)
+        apply = Scorer(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch, at):
                 names, scores = apply.texts(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=[f.name for f in schema.fields],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
