@@ -49,7 +49,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, carry=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
