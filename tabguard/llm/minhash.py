@@ -10,15 +10,17 @@
    is that of the members.
 4. Candidates are confirmed on the full sets; confirmed links give components.
 5. A link between two members that are not the centre may still be open where a
-   bucket holds several components. Those buckets are gone through exactly: members
-   are dealt to blocks of bounded size, every two blocks of a bucket meet in one
-   group, sizes of all intersections come from a product of matrices, and only
-   links between different components leave it.
+   bucket holds several components. Those buckets are gone through exactly. Members
+   are sorted into units by the size of their sets, on a scale on which a link spans
+   one step at most, and a component with many members of a size is a unit by itself.
+   Units that are too far apart, or of one and the same component, don't meet; the
+   others do, in blocks of bounded size, where sizes of all intersections come from
+   a product of matrices. Only links between different components leave a block.
 6. Components by contraction; the links never leave the executors.
 
 A link of similarity 0.85 shares no band, and is lost, with a chance of 3e-7; for a
 lower PERCENT, bands and rows are parameters as well.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes. A doc_id may be of any type with an order.
 
 Defined cases: a null or empty text, or one of white space, has an empty set and is
 linked with nothing; a text with fewer words than a shingle is one shingle; very
@@ -32,13 +34,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabguard.llm.common import cut
+from tabguard.llm.common import cut, map_arrow, slices
 from tabguard.operators.graph import components
 
 SHINGLE = 3
@@ -167,40 +170,43 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (both - common)
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def _sketches(docs: DataFrame, size: int, n_bands: int, n_rows: int) -> DataFrame:
     """doc_id, n_shingles, key (of the whole set; null if empty), bands."""
 
     def run(batches):
         for batch in batches:
-            ids, counts, keys, bands = [], [], [], []
-            for i, value in zip(batch.column(0), batch.column(1)):
-                s = shingles(value.as_py(), size)
-                ids.append(i.as_py())
-                counts.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(bucket_keys(s, n_bands, n_rows) if len(s) else [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "bands"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+            for part in slices(batch, 1):
+                counts, keys, bands = [], [], []
+                for value in part.column(1):
+                    s = shingles(value.as_py(), size)
+                    counts.append(len(s))
+                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    bands.append(bucket_keys(s, n_bands, n_rows) if len(s) else [])
+                found = (pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["doc_id", "n_shingles", "key", "bands"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {_kind(docs)}, n_shingles long, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """node and the bytes of its set, for the given nodes (column node); distinct."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    rows = docs.select(F.col("doc_id").alias("node"), "text")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = rows.join(ids, "node", "left_semi")
 
     def run(batches):
         for batch in batches:
-            s = [shingles(t.as_py(), size).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], names=["node", "set"])
+            for part in slices(batch, 1):
+                s = [shingles(t.as_py(), size).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.binary())], names=["node", "set"])
 
-    return rows.mapInArrow(run, "node long, set binary").filter(F.length("set") > 0).dropDuplicates(["node", "set"])
+    found = map_arrow(rows, run, f"node {_kind(docs)}, set binary").filter(F.length("set") > 0)
+    return found.dropDuplicates(["node", "set"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +221,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return map_arrow(both, run, f"a {kind}, b {kind}")
 
 
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
@@ -223,7 +230,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
 
     def solve(rows: list[tuple]):
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        sizes = np.array([len(s) for s in sets])
+        sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(rows)), sizes)
         _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -232,14 +239,14 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(element, kind="stable")
         owner, element = owner[order], element[order]
         renumbered = np.cumsum(np.concatenate([[0], np.diff(element) > 0])) if len(element) else element
-        common = np.zeros((len(rows), len(rows)), np.float32)
+        common = np.zeros((len(rows), len(rows)), np.int64)
         step = max(256, 2_000_000 // max(1, len(rows)))
         at = 0
         while at < len(owner):
             end = np.searchsorted(renumbered, renumbered[at] + step)
             m = np.zeros((len(rows), step), np.float32)
             m[owner[at:end], renumbered[at:end] - renumbered[at]] = 1
-            common += m @ m.T
+            common += (m @ m.T).astype(np.int64)  # at most step, so exact in 32 bits
             at = end
         union = sizes[:, None] + sizes[None] - common
         label = np.array([r[3] for r in rows])
@@ -254,56 +261,82 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
                 yield min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])
 
     def run(batches):
-        group, rows = None, []
+        group, rows, kind = None, [], None
+        pack = lambda found: pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i in (0, 1)], names=["a", "b"])
         for batch in batches:
-            found = []
+            found, kind = [], batch.column(2).type
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if r[0] != group:
                     if len(rows) > 1:
                         found += solve(rows)
                     group, rows = r[0], []
                 rows.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-        found = list(solve(rows)) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            yield pack(found)
+        if len(rows) > 1:
+            yield pack(list(solve(rows)))
 
-    return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    kind = members.schema["node"].dataType.simpleString()
+    return map_arrow(members.repartition("g").sortWithinPartitions("g"), run, f"a {kind}, b {kind}")
 
 
-def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The members of buckets in which, besides the centre, there is more than one label, dealt to blocks."""
+    # a bit more than the step that a link can span, so that rounding loses none
+    span = max(0.01, 1.001 * log(100 / percent))
     named = cut(
         buckets.filter("size > 2 and node <> centre")
         .join(labels, "node", "left")
-        .select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        .select("bucket", "node", "n", F.floor(F.log("n") / span).cast("int").alias("step"), F.coalesce("label", "node").alias("label"))
+    )
+    counts = cut(named.groupBy("bucket", "step", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("elements")))
+    wide = counts.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    full = (F.col("rows") > BLOCK_ROWS // 2) | (F.col("elements") > BLOCK_ELEMENTS // 2)
+    own = F.when(full, F.concat(F.lit("="), F.col("label").cast("string"))).otherwise("")
+    parts = counts.join(wide, "bucket", "left_semi").withColumn("unit", F.concat_ws("|", F.col("step").cast("string"), own))
+    blocks = F.greatest(F.ceil(F.sum("elements") / BLOCK_ELEMENTS), F.ceil(F.sum("rows") / BLOCK_ROWS)).cast("int")
+    units = cut(
+        parts.groupBy("bucket", "step", "unit").agg(blocks.alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
     )
-    wide = cut(
-        named.groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("elements"), F.count("*").alias("rows"))
-        .filter("low < high")
-        .select("bucket", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    a = units.select("bucket", *[F.col(c).alias(f"{c}_a") for c in units.columns[1:]])
+    b = units.select("bucket", *[F.col(c).alias(f"{c}_b") for c in units.columns[1:]])
+    one = (F.col("low_a") == F.col("high_b")) & (F.col("high_a") == F.col("low_b"))  # both of one label, the same
+    meet = cut(
+        a.join(b, "bucket")
+        .filter((F.col("unit_a") <= F.col("unit_b")) & (F.abs(F.col("step_a") - F.col("step_b")) <= 1) & ~one)
+        .select("bucket", "unit_a", "unit_b", "blocks_a", "blocks_b")
     )
-    rows = named.join(wide, "bucket")
-    block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    return rows.select(pair.alias("g"), F.col("block").alias("side"), "node", "label")
+    placed = cut(
+        named.join(parts.select("bucket", "step", "label", "unit"), ["bucket", "step", "label"])
+        .join(units.select("bucket", "unit", "blocks"), ["bucket", "unit"])
+        .select("bucket", "unit", "node", "label", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int").alias("block"))
+    )
+    twin = F.col("unit_a") == F.col("unit_b")
+    left = placed.withColumnRenamed("unit", "unit_a").join(meet, ["bucket", "unit_a"])
+    left = left.withColumn("other", F.explode(F.sequence(F.when(twin, F.col("block")).otherwise(0), F.col("blocks_b") - 1)))
+    right = placed.withColumnRenamed("unit", "unit_b").join(meet, ["bucket", "unit_b"]).filter(~twin | (F.col("block") > 0))
+    right = right.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(twin, F.col("block")).otherwise(F.col("blocks_a")) - 1)))
+    group = lambda x, y: F.xxhash64("bucket", "unit_a", x, "unit_b", y).alias("g")
+    left = left.select(group("block", "other"), F.lit(0).alias("side"), "node", "label")
+    return left.unionByName(right.select(group("other", "block"), F.lit(1).alias("side"), "node", "label"))
+
+
+def _twice(some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that hold rows of one doc_id with different sets."""
+    several = some.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("doc_id")
+    rows = cut(some.select("doc_id", "key").join(cut(several), "doc_id", "left_semi").distinct())
+    named = cut(rows.join(nodes.select("key", "node"), "key").select("doc_id", "node").distinct())
+    first = named.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return named.join(first, "doc_id").filter("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for each row."""
     sketches = cut(_sketches(docs, size, n_bands, n_rows))
     some = sketches.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = cut(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n")))
-    # rows of one doc_id with different sets belong together as well
-    same = some.select("key", F.col("doc_id")).join(nodes, "key").filter("doc_id <> node").select("doc_id", "node")
-    twice = same.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").toDF("a", "b").distinct()
-    bands = (
-        some.join(nodes.select("key", F.col("node").alias("doc_id"), "n"), ["key", "doc_id"])
-        .select("doc_id", "n", F.explode("bands").alias("bucket"))
-        .distinct()
-    )
-    bands = cut(bands.toDF("node", "n", "bucket"))
+    # equal sets have equal bands
+    nodes = cut(some.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    twice = _twice(some, nodes)
+    bands = cut(nodes.select("node", "n", F.explode("bands").alias("bucket")))
     centres = (
         bands.groupBy("bucket")
         .agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node"))).alias("c"), F.count("*").alias("size"))
@@ -317,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     sets = cut(_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size))
     links = cut(_confirm(stars, sets, percent).union(twice).distinct())
     labels = components(links)
-    rest = _open_members(buckets, labels).join(sets, "node").select("g", "side", "node", "label", "set")
+    rest = _open_members(buckets, labels, percent).join(sets, "node").select("g", "side", "node", "label", "set")
     more = cut(_block_links(rest, percent).distinct())
     if more.limit(1).count():
         labels = components(links.union(more))
