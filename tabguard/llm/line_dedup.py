@@ -5,10 +5,10 @@ words need; a line with that many is a window by itself. So the windows inside a
 passage are the same wherever it stands, and cover each of its lines. Windows are
 looked for in the whole corpus by hash. The first occurrence (by doc_id, then
 position) stays. Another one is a repeat if its bytes equal those of the first; where
-both lie in one document and overlap, what belongs to the first stays. Up to CONTEXT
-lines without a word on each side go along, as far as they are the same as beside the
-first, and so do such lines between two repeats. Runs of repeated lines with LEAST_RUN
-words are removed; two short lines that happen to meet twice stay.
+both lie in one document and overlap, what belongs to the first stays. The lines
+without a word on each side go along, as far as they are the same as beside the first,
+and so do such lines between two repeats. Runs of repeated lines with LEAST_RUN words
+are removed; two short lines that happen to meet twice stay.
 
 Counting sends a hash for each window; texts travel only for windows that repeat.
 A frequent window is counted before the shuffle, and its occurrences meet its text
@@ -16,7 +16,7 @@ in a join that Spark may split.
 
 Defined cases: a null text stays null; an empty text stays; very long texts are
 gone through whole; rows of the same doc_id and text are one document and are treated
-alike; a null doc_id comes last; kept is false for documents of which less than
+alike; a doc_id may be of any type with an order, and a null one comes last; kept is false for documents of which less than
 LEAST_LEFT percent of the words are left; an empty table gives an empty result;
 other columns pass through, and one that bears the name of an output gives way.
 """
@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabguard.llm.common import cut, quoted
+from tabguard.llm.common import cut, map_arrow, quoted, shielded, slices
 
 MIN_WORDS = 10
-CONTEXT = 8
 #: Words of a run of lines from which on it is a passage and goes.
 LEAST_RUN = 30
 LEAST_LEFT = 20
@@ -66,35 +65,28 @@ def _hash(lines: list[str]) -> int:
 
 def _with_id(docs: DataFrame) -> DataFrame:
     """docs with __rid, the order and identity of a document."""
-    rid = F.struct(
-        F.col("doc_id").isNull().alias("last"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
-        F.xxhash64("text").alias("hash"),
-    )
-    return docs.withColumn("__rid", rid)
-
-
-RID = "struct<last:boolean,id:long,hash:long>"
+    return docs.withColumn("__rid", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows, starts, sizes, hashes = [], [], [], []
-            for i, value in enumerate(batch.column(1)):
-                lines = (value.as_py() or "").split("\n")
-                for start, n, value in chunks(lines):
-                    rows.append(i)
-                    starts.append(start)
-                    sizes.append(n)
-                    hashes.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())],
-                names=["rid", "start", "n", "hash"],
-            )
+            for part in slices(batch, 1):
+                rows, starts, sizes, hashes = [], [], [], []
+                for i, value in enumerate(part.column(1)):
+                    lines = (value.as_py() or "").split("\n")
+                    for start, n, value in chunks(lines):
+                        rows.append(i)
+                        starts.append(start)
+                        sizes.append(n)
+                        hashes.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())],
+                    names=["rid", "start", "n", "hash"],
+                )
 
     rows = _with_id(docs.select("doc_id", "text")).select(F.col("__rid").alias("rid"), "text")
-    return rows.mapInArrow(run, f"rid {RID}, start int, n int, hash long").distinct()
+    return map_arrow(rows, run, f"rid {rows.schema['rid'].dataType.simpleString()}, start int, n int, hash long").distinct()
 
 
 def _passages(rows: DataFrame, kept: list[str], firsts: DataFrame) -> DataFrame:
@@ -107,31 +99,33 @@ def _passages(rows: DataFrame, kept: list[str], firsts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [[] for _ in range(4)]
-            for value, places in zip(batch.column(at), batch.column(where)):
-                lines = value.as_py().split("\n")
-                for p in places.as_py():
-                    a, b = p["start"], p["start"] + p["n"]
-                    before, after = lines[max(0, a - CONTEXT) : a][::-1], lines[b : b + CONTEXT]
-                    for column, x in zip(found, (p["hash"], lines[a:b], _while_blank(before), _while_blank(after))):
-                        column.append(x)
-            strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(found, (pa.int64(), strings, strings, strings))], names=["hash", "lines", "before", "after"]
-            )
+            for part in slices(batch, at):
+                found = [[] for _ in range(4)]
+                for value, places in zip(part.column(at), part.column(where)):
+                    lines = value.as_py().split("\n")
+                    for p in places.as_py():
+                        a, b = p["start"], p["start"] + p["n"]
+                        for column, x in zip(found, (p["hash"], lines[a:b], _wordless(lines, a - 1, -1), _wordless(lines, b, 1))):
+                            column.append(x)
+                strings = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(found, (pa.int64(), strings, strings, strings))], names=["hash", "lines", "before", "after"]
+                )
 
     places = firsts.groupBy(F.col("rid").alias("__owner")).agg(F.collect_list(F.struct("hash", "start", "n")).alias("__places"))
     found = rows.join(places, F.col("__rid") == F.col("__owner")).select(*[quoted(c) for c in kept], "__places")
     kinds = "hash long, lines array<string>, before array<string>, after array<string>"
     # rows of one doc_id and text hold the same passage
-    return found.mapInArrow(run, kinds).dropDuplicates(["hash"])
+    return map_arrow(found, run, kinds).dropDuplicates(["hash"])
 
 
-def _while_blank(lines: list[str]) -> list[str]:
-    for i, x in enumerate(lines):
-        if x.split():
-            return lines[:i]
-    return lines
+def _wordless(lines: list[str], at: int, step: int) -> list[str]:
+    """The lines from a place on, up or down, until one with a word."""
+    out = []
+    while 0 <= at < len(lines) and not lines[at].split():
+        out.append(lines[at])
+        at += step
+    return out
 
 
 def rewrite(text: str, repeats: list[dict]) -> tuple[str, int]:
@@ -165,8 +159,15 @@ def rewrite(text: str, repeats: list[dict]) -> tuple[str, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
 
 
+NEW = ("n_lines", "n_removed_lines", "kept")
+
+
 def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
     """docs, text without repeated passages; n_lines, n_removed_lines and kept."""
+    return shielded(docs, ("doc_id", "text"), NEW, lambda d: _line_dedup(d, least_left))
+
+
+def _line_dedup(docs: DataFrame, least_left: int) -> DataFrame:
     found = cut(_occurrences(docs))
     place = F.struct("rid", "start", "n")
     firsts = cut(
@@ -178,9 +179,7 @@ def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
     repeats = cut(
         found.join(firsts.toDF("fhash", "frid", "fstart", "fn"), F.col("hash") == F.col("fhash")).filter(~same).select("hash", "rid", "start", least)
     )
-    new = ("n_lines", "n_removed_lines", "kept")
-    kept = [c for c in docs.columns if c.lower() not in new]
-    rows = _with_id(docs)
+    kept, rows = docs.columns, _with_id(docs)
     # another key than that of the distinct hashes, so that both sides are dealt anew and Spark may split a frequent one
     passages = _passages(rows, kept, firsts).withColumn("key", F.col("hash").bitwiseXOR(F.lit(1))).drop("hash")
     by_document = (
@@ -191,12 +190,11 @@ def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
     )
     rows = rows.join(by_document, F.col("__rid") == F.col("__owner"), "left").select(*[quoted(c) for c in kept], "__repeats")
     at, where = kept.index("text"), len(kept)
-    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(k, t) for k, t in zip(new, (T.LongType(), T.LongType(), T.BooleanType()))]])
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(k, t) for k, t in zip(NEW, (T.LongType(), T.LongType(), T.BooleanType()))]])
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, at):
                 texts, counts, removed, good = [], [], [], []
                 for value, todo in zip(part.column(at), part.column(where)):
                     text, gone, ok = value.as_py(), 0, True
@@ -212,4 +210,4 @@ def line_dedup(docs: DataFrame, least_left: int = LEAST_LEFT) -> DataFrame:
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
