@@ -9,8 +9,12 @@ article on all its pages. A page on which that path yields no text, or whose url
 has no host, is read by its own best path.
 
 Within the chosen elements everything stays but menus, headers and footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments. Character
-references are decoded, white space in a block becomes one space, blocks are
+sidebars, notices, adverts, forms, scripts, styles and reader comments. These are told
+by their elements and roles, and by their classes and ids. A name is no proof if it is
+a compound or stands beside one that says main text: such an element is overruled
+where it holds the main text itself, that is, where hardly any wanted text is left
+without it. Names of states (menu-open, has-sidebar) say nothing. Character references
+are decoded, white space in a block becomes one space, blocks are
 trimmed and joined in page order by an empty line.
 
 Votes are whole numbers and added up before the shuffle, so a host that holds a
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabguard.llm.common import cut, quoted
+from tabguard.llm.common import cut, map_arrow, shielded, slices
 
 #: Size up to which the winners (host, path) are broadcast; beyond it they are joined by host, with salt.
 BROADCAST_BYTES = 8 << 20
@@ -51,7 +55,7 @@ _TOKEN = re.compile(r"[a-z]+")
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg object canvas audio video annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody "
@@ -65,11 +69,14 @@ UNWANTED_CLASSES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside side rail footer "
     "header masthead topbar toolbar comment comments commentlist discussion disqus respond reply replies "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations widget skip "
+    "subscription signup login share sharing social related recommended recommendations widget skiplink "
     "search searchform form paywall".split()
 )
-#: Names that say main text outweigh those above on the same element.
+#: Words of names that say main text.
 WANTED_CLASSES = frozenset("article content main post story entry body text".split())
+#: Names of states of an element, which don't say what it is.
+STATE = re.compile(r"(?:has|with|no|without|is|js)-.*|.*-(?:open|opened|closed|active|inactive|fixed|visible|collapsed|expanded|enabled|disabled|layout)")
+SKIP = re.compile(r"skip-(?:links?|nav|navigation|to-.*)")
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dd": ({"dd", "dt"}, {"dl"}),
@@ -87,12 +94,23 @@ BONUS = 3
 
 
 class Element:
-    __slots__ = ("bonus", "depth", "good", "inside_article", "linked", "path", "tag", "unwanted", "waste")
+    __slots__ = ("bonus", "depth", "good", "hard", "inside_article", "linked", "named", "path", "suspects", "tag", "up", "waste")
 
-    def __init__(self, tag: str, path: str, depth: int, unwanted: bool, linked: bool, inside_article: bool, bonus: int):
-        self.tag, self.path, self.depth = tag, path, depth
-        self.unwanted, self.linked, self.inside_article, self.bonus = unwanted, linked, inside_article, bonus
+    def __init__(self, tag: str, up: Element | None):
+        self.tag, self.up = tag, up
         self.good = self.waste = 0
+        self.bonus, self.named = 1, False
+        if up is None:
+            self.path, self.depth, self.hard, self.suspects, self.linked, self.inside_article = "", 0, False, (), False, False
+        else:
+            self.path, self.depth, self.hard, self.suspects = up.path, up.depth + 1, up.hard, up.suspects
+            self.linked, self.inside_article = up.linked or tag == "a", up.inside_article
+
+    def chain(self):
+        e = self
+        while e is not None:
+            yield e
+            e = e.up
 
 
 def _marks(attributes: str) -> tuple[list[str], str, bool]:
@@ -113,27 +131,77 @@ def _marks(attributes: str) -> tuple[list[str], str, bool]:
     return names, role, hidden
 
 
-def _is_unwanted(tag: str, names: list[str], role: str, inside_article: bool) -> bool:
+SURE, DOUBTFUL, MAIN = "sure", "doubtful", "main text, but doubtful"
+
+
+def _unwanted(tag: str, names: list[str], role: str, inside_article: bool) -> str | None:
+    """How sure it is that an element isn't main text; None if nothing says so."""
     if tag in ("body", "html", "main"):
-        return False
+        return None
     if tag in UNWANTED or role in ROLES:
-        return True
+        return SURE
     if tag == "header" and not inside_article:
-        return True
-    bad = good = False
-    for n in names:
-        tokens = _TOKEN.findall(n)
-        good |= any(t in WANTED_CLASSES for t in tokens)
-        bad |= any(t in UNWANTED_CLASSES for t in tokens)
-        # a name such as comment-body or article-footer is told by the unwanted part
-    if not bad:
-        return False
-    return not (good and tag in ("article", "main")) or any(t in UNWANTED_CLASSES for n in names for t in n.split("-")[:1])
+        return SURE
+    plain = compound = wanted = False
+    for name in names:
+        if SKIP.fullmatch(name):
+            plain = True
+        if STATE.fullmatch(name):
+            continue
+        tokens = _TOKEN.findall(name)
+        bad = any(t in UNWANTED_CLASSES for t in tokens)
+        plain |= bad and len(tokens) == 1
+        compound |= bad and len(tokens) > 1
+        wanted |= not bad and any(t in WANTED_CLASSES for t in tokens)
+    if not plain and not compound:
+        return None
+    if plain:
+        return DOUBTFUL if wanted else SURE
+    return MAIN if wanted or tag == "article" else DOUBTFUL
+
+
+def _overruled(blocks: list[tuple[str, int, Element]]) -> set[Element]:
+    """Doubtful elements that hold the main text themselves."""
+    out: set[Element] = set()
+    while True:
+        wanted, held = 0, defaultdict(int)
+        for text, linked, e in blocks:
+            if e.hard:
+                continue
+            if shut := [s for s in e.suspects if s not in out]:
+                held[shut[-1]] += len(text) - min(len(text), linked)
+            else:
+                wanted += len(text) - min(len(text), linked)
+        found = [s for s, n in held.items() if n and (wanted * 4 < n if s.named else not wanted)]
+        if not found:
+            return out
+        best = max(found, key=lambda s: (held[s], -s.depth))
+        out.update(best.suspects)
 
 
 def parse(page: str) -> tuple[list[Element], list[tuple[str, tuple[Element, ...]]]]:
-    """Containers, and the blocks of wanted text with the elements around them."""
-    root = Element("", "", 0, False, False, False, 1)
+    """Containers, and the blocks of wanted text with the containers around them."""
+    elements, blocks = _parse(page)
+    spared = _overruled(blocks) if any(e.suspects for _, _, e in blocks) else set()
+    wanted = lambda e: not e.hard and all(s in spared for s in e.suspects)
+    kept = []
+    for text, linked, top in blocks:
+        n = len(text)
+        if wanted(top):
+            around = tuple(e for e in top.chain() if e.tag in CONTAINER or not e.tag)
+            kept.append((text, around))
+            for e in around:
+                e.good += n - min(n, linked)
+                e.waste += min(n, linked)
+        else:
+            for e in top.chain():
+                e.waste += n
+    return [e for e in elements if wanted(e)], kept
+
+
+def _parse(page: str) -> tuple[list[Element], list[tuple[str, int, Element]]]:
+    """Containers, and all blocks of text with the characters in links and the innermost element."""
+    root = Element("", None)
     stack, elements, blocks = [root], [root], []
     words: list[str] = []
     linked = 0
@@ -141,20 +209,8 @@ def parse(page: str) -> tuple[list[Element], list[tuple[str, tuple[Element, ...]
     def flush() -> None:
         nonlocal linked
         if words:
-            text = " ".join("".join(words).split())
-            if text:
-                top = stack[-1]
-                n = len(text)
-                if top.unwanted:
-                    for e in stack:
-                        if not e.unwanted:
-                            e.waste += n
-                else:
-                    around = tuple(e for e in stack if e.tag in CONTAINER or not e.tag)
-                    blocks.append((text, around))
-                    for e in around:
-                        e.good += n - min(n, linked)
-                        e.waste += min(n, linked)
+            if text := " ".join("".join(words).split()):
+                blocks.append((text, linked, stack[-1]))
             words.clear()
         linked = 0
 
@@ -197,7 +253,9 @@ def parse(page: str) -> tuple[list[Element], list[tuple[str, tuple[Element, ...]
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if not (m[3] and m[3].rstrip().endswith("/") and tag in ("svg", "math")):
+            if not (m[3] and m[3].rstrip().endswith("/") and tag == "svg"):
+                if tag == "xmp":  # shown as it is
+                    words.append(page[at : close.start() if close else size])
                 at = close.end() if close else size
             continue
         if tag == "br":
@@ -230,18 +288,20 @@ def parse(page: str) -> tuple[list[Element], list[tuple[str, tuple[Element, ...]
                         break
         if tag in ("body", "html") and any(e.tag == tag for e in stack):
             continue
-        up = stack[-1]
+        e = Element(tag, stack[-1])
         names, role, hidden = _marks(m[3]) if m[3] else ([], "", False)
-        unwanted = up.unwanted or hidden or _is_unwanted(tag, names, role, up.inside_article)
+        doubt = SURE if hidden else _unwanted(tag, names, role, e.inside_article)
+        e.hard |= doubt == SURE
+        if doubt in (DOUBTFUL, MAIN):
+            e.suspects, e.named = (*e.suspects, e), doubt == MAIN
         article = tag in ("article", "main") or role in ("main", "article")
-        bonus = BONUS if article or any(t in ("article", "content", "main", "post", "story", "entry") for n in names for t in _TOKEN.findall(n)) else 1
-        path = up.path
+        if article or any(t in ("article", "content", "main", "post", "story", "entry") for n in names for t in _TOKEN.findall(n)):
+            e.bonus = BONUS
+        e.inside_article |= article
         if tag in CONTAINER:
-            step = tag + "".join("." + _DIGITS.sub("0", n) for n in names[:3])
-            path = f"{path}/{step}"
-        e = Element(tag, path, len(stack), unwanted, up.linked or tag == "a", up.inside_article or article, bonus)
+            e.path += f"/{tag}" + "".join("." + _DIGITS.sub("0", n) for n in names)
         stack.append(e)
-        if tag in CONTAINER and not unwanted:
+        if tag in CONTAINER and not e.hard:
             elements.append(e)
         if m[3] and m[3].endswith("/") and tag not in BLOCK:
             stack.pop()
@@ -303,36 +363,41 @@ def winners(pages: DataFrame) -> DataFrame:
                 names=["host", "path", "n"],
             )
 
-    counted = rows.mapInArrow(run, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    counted = map_arrow(rows, run, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
     depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
     return counted.groupBy("host").agg(F.max(F.struct(F.col("n"), depth, F.col("path"))).alias("top")).select("host", F.col("top.path").alias("path"))
 
 
+NEW = ("text", "n_chars")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """pages with text and n_chars."""
+    return shielded(pages, ("page_id", "url", "html"), NEW, _main_text)
+
+
+def _main_text(pages: DataFrame) -> DataFrame:
     won = cut(winners(pages).toDF("__host", "__path"))
     size = won.agg(F.coalesce(F.sum(F.length("__host") + F.length("__path") + 32), F.lit(0)).alias("n")).first()["n"]
-    new = ("text", "n_chars")
-    kept = [c for c in pages.columns if c.lower() not in new]
-    rows = pages.withColumn("__host", host(quoted("url")))
+    kept = pages.columns
+    rows = pages.withColumn("__host", host(F.col("url")))
     if size <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(won), "__host", "left")
     else:
         salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
         copies = won.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("__salt", salt).join(copies, ["__host", "__salt"], "left")
-    rows = rows.select(*[quoted(c) for c in kept], "__path")
+    rows = rows.select(*kept, "__path")
     at, path = kept.index("html"), len(kept)
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch, at):
                 texts = [extract(h.as_py() or "", p.as_py()) for h, p in zip(part.column(at), part.column(path))]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:path], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=[f.name for f in schema.fields],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
