@@ -5,17 +5,18 @@ all documents, whatever their labels. A small network g is trained in numpy to
 minimise the non-negative estimate of the risk
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 with the logistic loss l: when the second term falls below zero, its gradient is
-reversed. The class prior is the share of good rows among the labelled ones; if
-all of them are good, it is estimated from a first classifier of positives
-against unlabelled rows (mean output on the unlabelled over mean on positives).
+reversed. The class prior is estimated from a first classifier of positives against
+unlabelled rows (mean output on the unlabelled over mean on positives). Documents
+labelled bad serve for nothing but to make a doc_id labelled both ways untrusted.
 
 The inputs are shape statistics of the whole text: how often each pair of byte
 classes is adjacent, and ratios of repeated words, lines and neighbours. No
 label, language, source or identifier is among them.
 
 At most sample_rows positives and sample_rows unlabelled documents, the first by
-the hash of doc_id, are used for training; rows held out (crc32 of doc_id divisible
-by 5) take no part. Every document is scored on its whole text.
+the hash of doc_id and text, are used for training; rows of one doc_id and text count
+as one. Rows held out (crc32 of doc_id divisible by 5) take no part. Every document is
+scored on its whole text. A doc_id may be of any type.
 
 Defined cases: a null text is the empty text; an empty text is scored like any
 other; without a positive row every score is the prior, 0.5; a doc_id labelled both
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabguard.llm.common import held_out, quoted
+from tabguard.llm.common import cut, held_out, map_arrow, quoted, slices
 
 SAMPLE_ROWS = 6000
 HIDDEN = 24
@@ -125,6 +126,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _loss(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, -z)
+
+
+def risk(net: Network, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two terms of the unbiased risk: of positives, and of what else is unlabelled; the latter may be negative."""
+    gp, gu = net.logits(p), net.logits(u)
+    return prior * _loss(gp).mean(), _loss(-gu).mean() - prior * _loss(-gp).mean()
+
+
+def risk_gradient(net: Network, p: np.ndarray, u: np.ndarray, prior: float) -> dict:
+    """Of the sum of the terms, or of the second one reversed, where that is negative."""
+    gp, gu = net.logits(p), net.logits(u)
+    # derivatives of the three means by the logits
+    on_p_good = -prior * _sigmoid(-gp) / len(p)
+    on_p_bad = -prior * _sigmoid(gp) / len(p)
+    on_u_bad = _sigmoid(gu) / len(u)
+    if risk(net, p, u, prior)[1] >= 0:
+        return _sum(net.gradient(p, on_p_good + on_p_bad), net.gradient(u, on_u_bad))
+    return _sum(net.gradient(p, -on_p_bad), net.gradient(u, -on_u_bad))
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 11) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
     everything = np.concatenate([positive, unlabelled])
@@ -138,17 +161,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
         for at in range(0, len(order), BATCH):
             u = unlabelled[order[at : at + BATCH]]
             p = positive[rng.integers(0, len(positive), BATCH)]
-            gp, gu = net.logits(p), net.logits(u)
-            loss = lambda z: np.logaddexp(0, -z)
-            negative = loss(-gu).mean() - prior * loss(-gp).mean()
-            # derivatives of the three means by the logits
-            on_p_good = -prior * _sigmoid(-gp) / len(p)
-            on_p_bad = -prior * _sigmoid(gp) / len(p)
-            on_u_bad = _sigmoid(gu) / len(u)
-            if negative >= 0:
-                grad = _sum(net.gradient(p, on_p_good + on_p_bad), net.gradient(u, on_u_bad))
-            else:
-                grad = _sum(net.gradient(p, -on_p_bad), net.gradient(u, -on_u_bad))
+            grad = risk_gradient(net, p, u, prior)
             step += 1
             for n, g in grad.items():
                 g = g + 1e-4 * net.w[n]
@@ -163,88 +176,79 @@ def _sum(a: dict, b: dict) -> dict:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among unlabelled rows, where no negative is labelled."""
+    """Share of positives among unlabelled rows."""
     share = len(positive) / (len(positive) + len(unlabelled))
     net = train(positive, unlabelled, share)
     c = _sigmoid(net.logits(positive)).mean()
     return float(np.clip(_sigmoid(net.logits(unlabelled)).mean() / max(c, 1e-6), 0.05, 0.95))
 
 
-def _sample(rows: DataFrame, n: int, sample_rows: int, seed: int) -> list[int]:
-    """At most sample_rows distinct doc_ids of about n rows, the first by their hash.
+def _sample(rows: DataFrame, sample_rows: int, seed: int) -> DataFrame:
+    """At most sample_rows of the distinct rows (doc_id, hash), the first by their hash.
 
-    Twice as many as are wanted pass a filter by the hash first: a task then sends few,
-    however many tasks there are.
+    About twice as many as are wanted pass a filter by the hash first: a task then sends
+    few, however many tasks there are. The estimate of how many are distinct is of
+    bounded size.
     """
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    n = rows.agg(F.approx_count_distinct(F.xxhash64("doc_id", "hash"))).first()[0]
+    draw = F.pmod(F.xxhash64("doc_id", "hash", F.lit(seed)), F.lit(1 << 40))
     few = rows.filter(draw < int(min(1.0, (2 * sample_rows + 100) / max(1, n)) * (1 << 40)))
-    chosen = few.select("doc_id", draw.alias("d")).distinct().orderBy("d", "doc_id").limit(sample_rows)
-    return [r["doc_id"] for r in chosen.collect()]
+    return few.select("doc_id", "hash", draw.alias("draw")).distinct().orderBy("draw", "doc_id", "hash").limit(sample_rows)
+
+
+def _features(docs: DataFrame, chosen: DataFrame) -> dict[int, np.ndarray]:
+    """The inputs of the rows chosen (doc_id, hash, draw, part), which are few, by part and in the order of their draw."""
+    # bounded: at most 2 * sample_rows rows of an identifier and numbers
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(F.broadcast(chosen), ["doc_id", "hash"])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 3):
+                x = [inputs(t).tobytes() for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(x, pa.binary())], names=["part", "draw", "hash", "x"])
+
+    found = map_arrow(rows.select("part", "draw", "hash", "text"), run, "part int, draw long, hash long, x binary")
+    # rows of one doc_id and text have the same inputs, and one of them is enough
+    one = sorted(found.groupBy("part", "draw", "hash").agg(F.first("x").alias("x")).collect())
+    return {k: np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in one if r["part"] == k], np.float64) for k in (0, 1)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network from the labelled and unlabelled rows that are not held out; None without positives."""
     learnable = ~held_out(F.col("doc_id"))
-    known = (
+    good = (
         labels.filter(learnable & F.col("quality").isNotNull())
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
-    )
-    counts = known.agg(
-        F.count_if(F.col("low") == 1).alias("good"), F.count_if(F.col("high") == 0).alias("bad")
-    ).first()
-    if not counts["good"]:
-        return None
-    open_rows = docs.filter(learnable)
-    chosen = [
-        _sample(known.filter("low = 1"), counts["good"], sample_rows, 1),
-        _sample(open_rows, open_rows.count(), sample_rows, 2),
-    ]
-    spark = docs.sparkSession
-    # at most 2 * sample_rows identifiers
-    ids = F.broadcast(
-        spark.createDataFrame([(i, k) for k, part in enumerate(chosen) for i in part], "__id long, __part int")
+        .agg(F.min("quality").alias("low"))
+        .filter("low = 1")
+        .select("doc_id")
     )
-    found = docs.join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", "__part", "text")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("x", T.BinaryType())])
-
-    def run(batches):
-        for batch in batches:
-            x = [inputs(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "part", "x"]
-            )
-
-    rows = sorted((r["part"], r["doc_id"], bytes(r["x"])) for r in found.mapInArrow(run, schema).collect())
-    both = [np.array([np.frombuffer(x, np.float32) for p, _, x in rows if p == k], np.float64) for k in (0, 1)]
+    rows = cut(docs.filter(learnable).select("doc_id", F.xxhash64("text").alias("hash")))
+    parts = [_sample(x, sample_rows, i + 1).withColumn("part", F.lit(i)) for i, x in enumerate((cut(rows.join(good, "doc_id", "left_semi")), rows))]
+    both = _features(docs, cut(parts[0].unionByName(parts[1])))
     if not len(both[0]) or not len(both[1]):
         return None
-    if counts["bad"]:
-        prior = counts["good"] / (counts["good"] + counts["bad"])
-    else:
-        prior = estimate_prior(*both)
-    return train(*both, float(np.clip(prior, 0.02, 0.98)))
+    return train(both[0], both[1], float(np.clip(estimate_prior(both[0], both[1]), 0.02, 0.98)))
 
 
-def classify(docs: DataFrame, network: Network | None, cut: float = CUT) -> DataFrame:
+def classify(docs: DataFrame, network: Network | None, least: float = CUT) -> DataFrame:
     """docs with held_out, score and predicted."""
     new = ("held_out", "score", "predicted")
     kept = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in new])
     out = kept.withColumn("held_out", held_out(F.col("doc_id")))
     if network is None:
-        return out.withColumns({"score": F.lit(0.5), "predicted": F.lit(int(cut <= 0.5))})
+        return out.withColumns({"score": F.lit(0.5), "predicted": F.lit(int(least <= 0.5))})
     at = kept.columns.index("text")
     schema = T.StructType([*out.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, at):
                 x = np.array([inputs(t) for t in part.column(at).to_pylist()], np.float64)
                 score = _sigmoid(network.logits(x))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32))],
+                    [*part.columns, pa.array(score, pa.float64()), pa.array((score >= least).astype(np.int32))],
                     names=[f.name for f in schema.fields],
                 )
 
-    return out.mapInArrow(run, schema)
+    return map_arrow(out, run, schema)
