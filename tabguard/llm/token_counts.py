@@ -11,7 +11,10 @@ sections add up to the count of the document.
 
 By default the sections are the document's lines, each with the newline that ends
 it. Other sections, or fields that were put together into one text, are given as a
-column of starts in characters; the first must be 0.
+column of starts in characters. They are taken in the order of their values, each
+once; a start that is null or negative is left out, and without any the whole text
+is one section. Tokens before the first start count for no section, only for the
+document.
 
 Defined cases: a null or empty text has no tokens and no sections; starts beyond
 the text get no tokens; very long texts are encoded whole, in pieces that end
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tabguard.llm.common import quoted
+from tabguard.llm.common import map_arrow, quoted, slices
 
 PIECE = 1_000_000
 #: A place where the pattern always ends a word: between a letter or digit and one space before a letter.
@@ -73,14 +76,15 @@ class Counter:
         return first, last
 
     def count(self, text: str, starts: np.ndarray, rule: str) -> tuple[int, np.ndarray, int]:
-        """Tokens in all, in each section, and how many cross a boundary."""
+        """Tokens in all, in each section, and how many cross a boundary; starts ascend."""
         first, last = self.spans(text)
-        a = np.searchsorted(starts, first, "right") - 1
-        b = np.searchsorted(starts, last, "right") - 1
-        return len(first), np.bincount(a if rule == "first" else b, minlength=len(starts)), int((a != b).sum())
+        # place 0 is what lies before the first start
+        a, b = np.searchsorted(starts, first, "right"), np.searchsorted(starts, last, "right")
+        each = np.bincount(a if rule == "first" else b, minlength=len(starts) + 1)[1:]
+        return len(first), each, int((a != b).sum())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def counter(path: str, pattern: str) -> Counter:
     return Counter(path, pattern)
 
@@ -93,6 +97,11 @@ def line_starts(text: str) -> list[int]:
     return out
 
 
+def section_starts(given: list[int | None] | None) -> list[int]:
+    """The starts that count, ascending."""
+    return sorted({x for x in given or () if x is not None and x >= 0}) or [0]
+
+
 def token_counts(docs: DataFrame, path: str, pattern: str, starts: str | None = None, rule: str = "first") -> DataFrame:
     """docs with n_tokens, n_sections, section_tokens and n_crossing."""
     if rule not in ("first", "last"):
@@ -110,14 +119,13 @@ def token_counts(docs: DataFrame, path: str, pattern: str, starts: str | None =
     def run(batches):
         tool = counter(path, pattern)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch, at):
                 bounds = part.column(given) if starts else [None] * part.num_rows
                 found = [[] for _ in new]
                 for value, own in zip(part.column(at), bounds):
                     text = value.as_py() or ""
                     if text:
-                        begin = (own.as_py() or [0]) if starts else line_starts(text)
+                        begin = section_starts(own.as_py()) if starts else line_starts(text)
                         n, each, crossing = tool.count(text, np.asarray(begin, np.int64), rule)
                     else:
                         n, each, crossing = 0, np.zeros(0, np.int64), 0
@@ -126,4 +134,4 @@ def token_counts(docs: DataFrame, path: str, pattern: str, starts: str | None =
                 arrays = [pa.array(x, t) for x, (_, t) in zip(found, new.values())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[f.name for f in schema.fields])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
