@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabguard.llm import line_dedup, minhash
 
@@ -203,3 +204,81 @@ def test_a_passage_that_overlaps_itself_stays_once(spark):
     got = line_dedup.line_dedup(spark.createDataFrame([(1, "\n".join([a, b] * 4)), (2, "x y\n" * 30)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in got} == {1: f"{a}\n{b}", 2: "x y\n" * 5}
     assert [(x, n) for x, n, _ in line_dedup.chunks(["x y"] * 6 + ["", "z"])] == [(0, 5), (1, 5), (1, 7)]
+
+
+def repeated_lines(rows):
+    """By brute force: the lines (document, place) of runs with LEAST_RUN words that stand, whole, at an earlier place too."""
+    seen, out = {}, set()
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        size = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(size[a:b]) >= line_dedup.LEAST_RUN and size[a] and size[b - 1]:
+                    run = tuple(lines[a:b])
+                    if run in seen and (seen[run][0] < i or seen[run][1] <= a):
+                        out.update((i, k) for k in range(a, b))
+                    seen.setdefault(run, (i, b))
+    return out
+
+
+def test_recall_of_all_repeated_runs(spark):
+    """Runs of 2 to 12 lines out of a pool, anywhere, with lines without words between; none that repeats stays."""
+    r = random.Random(14)
+    pool = [passage(r, r.randint(2, 12), r.choice([3, 5, 8, 13, 30])) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        lines = passage(r, r.randint(0, 3), 9)
+        for _ in range(r.randint(0, 3)):
+            block = list(r.choice(pool))
+            a, b = sorted(r.sample(range(len(block) + 1), 2))
+            lines += block[a:b] + [""] * r.choice([0, 0, 1, 12]) + passage(r, r.randint(0, 2), r.choice([2, 9, 20]))
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts, want, left = dict(rows), repeated_lines(rows), 0
+    for i, k in want:
+        line = texts[i].split("\n")[k]
+        # a line may stand again in the document, outside of the run
+        kept, all_, gone = got[i].split("\n"), texts[i].split("\n"), sum(1 for j, m in want if j == i and texts[i].split("\n")[m] == line)
+        left += bool(line.split()) and kept.count(line) > all_.count(line) - gone
+    assert len(want) > 200 and left == 0
+
+
+def test_many_lines_without_words_go_along(spark):
+    a, b = passage(random.Random(3), 2, 25)
+    text = "\n".join(["x1"] + [""] * 40 + [a, *[" "] * 30, b] + [""] * 40 + ["x2"])
+    rows = [(1, text), (2, text.replace("x1", "y1").replace("x2", "y2"))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: text, 2: "y1\ny2"}
+
+
+def test_clashing_names_long_texts_and_text_ids(spark):
+    r = random.Random(5)
+    block = "\n".join(passage(r, 5, 12))
+    long = "\n".join(passage(r, 20000, 6))
+    rows = [("b", "one\n" + block), ("a", block), ("c", long + "\n" + block), (None, "x\n" + block)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS __owner", "2 AS `a.b`", "3 AS __rid", "4 AS __repeats", "5 AS hash", "6 AS KEPT")
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns[:-1], "n_lines", "n_removed_lines", "kept"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {i: x["text"] for i, x in got.items()} == {"a": block, "b": "one", "c": long, None: "x"}
+    assert all((x["__owner"], x["a.b"], x["__rid"]) == (1, 2, 3) for x in got.values())
+    pairs = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df.withColumn("text", F.coalesce(F.lit(block), "text"))).collect()}
+    assert pairs == {"a": "a", "b": "a", "c": "a", None: None}
+
+
+def test_large_components_of_one_bucket(spark, monkeypatch):
+    """Units of one component don't meet, others do, over steps of size as well; as all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 6)
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    base = r.choices(words, k=120)
+    texts = [" ".join(base)]
+    for k in range(70):  # a core that all share, so that bands do too, with tails of many lengths
+        texts.append(" ".join(base + r.choices(words, k=k // 2)))
+        w = list(base)
+        w[r.randrange(120)] = f"y{k}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

@@ -89,3 +89,82 @@ def test_prior_without_negatives():
     good = np.zeros((400, quality_pu.N_INPUTS)) + rng.normal(1, 0.3, (400, quality_pu.N_INPUTS))
     bad = rng.normal(-1, 0.3, (150, quality_pu.N_INPUTS))
     assert 0.5 < quality_pu.estimate_prior(good[:200], np.concatenate([good[200:], bad])) < 0.85
+
+
+def test_quality_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    for prior in (0.4, 0.95):
+        net = quality_pu.Network(4)
+        x = rng.normal(0, 2, (300, quality_pu.N_INPUTS))
+        x = x[np.argsort(net.logits(x))]
+        # with positives far above the others the second term is negative
+        p, u = (x[-30:], x[:40]) if prior > 0.5 else (x[::10], x[5::10])
+        second = quality_pu.risk(net, p, u, prior)[1]
+        assert (second < 0) == (prior > 0.5)
+        # where the second term is negative, its reverse is what is followed
+        value = lambda: sum(quality_pu.risk(net, p, u, prior)) if second >= 0 else -quality_pu.risk(net, p, u, prior)[1]  # noqa: E731, B023
+        grad = quality_pu.risk_gradient(net, p, u, prior)
+        for name, w in net.w.items():
+            for at in rng.integers(0, w.size, 5):
+                old = w.flat[at]
+                w.flat[at] = old + 1e-5
+                high = value()
+                w.flat[at] = old - 1e-5
+                low = value()
+                w.flat[at] = old
+                assert abs((high - low) / 2e-5 - grad[name].flat[at]) < 1e-5
+
+
+def test_language_gradient_by_differences():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 256, (5, langid.WINDOW), dtype=np.uint8), np.array([0, 1, 2, 0, 1])
+    w = {n: v.astype(np.float64) for n, v in langid.train(x, y, ("a", "b", "c")).weights.items()}
+
+    def loss():
+        embedded = np.ascontiguousarray(w["embed"][x])
+        pooled = [(langid._patches(embedded, k) @ w[f"filter{k}"] + w[f"bias{k}"]).max(1) for k in langid.WIDTHS]
+        logits = np.maximum(np.concatenate(pooled, 1), 0) @ w["out"] + w["out_bias"]
+        return (np.log(np.exp(logits).sum(1)) - logits[np.arange(5), y]).mean()
+
+    grad = langid._gradients(w, x, y, 3)
+    for name, v in w.items():
+        for at in rng.integers(0, v.size, 6):
+            old = v.flat[at]
+            v.flat[at] = old + 1e-6
+            high = loss()
+            v.flat[at] = old - 1e-6
+            low = loss()
+            v.flat[at] = old
+            assert abs((high - low) / 2e-6 - grad[name].flat[at]) < 1e-5, name
+
+
+def test_quality_sample_is_bounded_and_full(spark):
+    """Thousands of copies of one document neither shrink the sample nor come along with it."""
+    rows = [(7, "the very same text " * 5)] * 5000 + [(i, f"text {i} is its own " * 4) for i in range(100, 1100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __id", "2 AS hash", "3 AS draw", "4 AS `a.b`")
+    hashed = df.select("doc_id", F.xxhash64("text").alias("hash"))
+    chosen = quality_pu._sample(hashed, 100, 2).withColumn("part", F.lit(1))
+    assert chosen.count() == 100
+    found = quality_pu._features(df.select("doc_id", "text"), chosen)
+    assert len(found[0]) == 0 and len(found[1]) == 100
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100, 500)] + [(100, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    network = quality_pu.fit(df, labels, 100)
+    out = quality_pu.classify(df, network)
+    assert out.columns == [*df.columns, "held_out", "score", "predicted"] and out.count() == len(rows)
+    assert len({r["score"] for r in out.filter("doc_id = 7").collect()}) == 1
+
+
+def test_long_repeated_and_clashing_rows(spark, docs):
+    long = "A sentence of words that is one of very many. " * 40000
+    df = spark.createDataFrame([(1, long, "en"), (1, long, "en"), (2, "", None)], "doc_id long, text string, lang string")
+    df = df.selectExpr("*", "1 AS __n", "2 AS `x.y`", "3 AS __draw", "4 AS SCORE")
+    model = langid.fit(docs)
+    out = langid.identify(df, model)
+    assert out.columns == [*df.columns[:-1], "lang_pred", "score"]
+    rows = out.collect()
+    assert {r["lang_pred"] for r in rows if r["doc_id"] == 1} == {"en"} and all(r["x.y"] == 2 for r in rows)
+    assert langid.fit(df) is None or langid.fit(df).languages == ("en",)
+    network = quality_pu.Network()
+    assert quality_pu.classify(df, network).count() == 3 and quality_pu.classify(df.filter("false"), network).count() == 0
+    empty = docs.filter("false")
+    assert quality_pu.fit(empty, spark.read.parquet(f"{SF}/labels.parquet")) is None

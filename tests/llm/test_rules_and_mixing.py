@@ -106,3 +106,23 @@ def test_mix_as_sql_with_ties_and_repeats(spark):
     key = lambda r: tuple(-1 if x is None else x for x in r)
     singles = lambda rs: sorted((r for r in rs if r[0] != 7), key=key)
     assert singles(got) == singles([tuple(None if x != x else x for x in r) for r in want])
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+def test_whole_rows_as_slim_rows(spark, copies):
+    """Rows given back whole take what the slim rows say, with repeated rows at the ends of the prefixes too."""
+    rows = documents() + [(7, "same words of a row", "b")] * 900 + [(7, "same words of a row", "c")] * 40 + [(None, None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "map('k', source) AS m", "1 AS `a.b`", "2 AS __group")
+    slim = mix(df, copies=copies, carry=("doc_id", "source"))
+    whole = mix(df, copies=copies)
+    assert whole.columns == [*df.columns, "size", "source_size", "target", "n_copies", "taken"]
+    count = lambda d: Counter((r["doc_id"], r["source"], r["size"], r["target"], r["n_copies"], r["taken"]) for r in d.collect())
+    assert count(whole) == count(slim)
+    assert sorted(map(str, whole.select("doc_id", "text", "`a.b`").collect())) == sorted(map(str, df.select("doc_id", "text", "`a.b`").collect()))
+
+
+def test_texts_with_more_windows_than_positions(spark, monkeypatch):
+    from tabguard.llm import quality_rules as q
+
+    monkeypatch.setattr(q, "POSITION_BITS", 3)
+    test_measures(spark)
