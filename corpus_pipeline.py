@@ -1,46 +1,68 @@
-"""A corpus pipeline of five stages: language ID, line dedup, near-dedup, mixing, tokens."""
+"""A corpus pipeline of five stages: language ID, line dedup, near-dedup, mixing, tokens.
+
+Defined cases, for all stages: a null text goes with the language stage, and so do texts
+without a letter; empty tables pass through; very long texts are gone through whole;
+repeated rows are decided alike, but that one of each group of near-duplicates stays;
+null doc_ids are never near-duplicates; other columns than those of documents are
+carried along under any name (with dots, or one that a stage uses itself), only those
+that the last stage adds give way.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabguard.llm import bpe, langid, line_dedup, minhash, mixing
-from tabguard.llm.common import cut, table
+from tabguard.llm.common import cut, shielded, table
 
 #: No SQL: the language model, the byte-pair merges and the hashes have no twin there.
 ORACLE_SQL = None
 #: Near-duplicates share 80 percent of their shingles of five words; 40 bands of 5 rows lose such a link with a chance of 1.3e-7.
 PERCENT, SHINGLE, BANDS, ROWS = 80, 5, 40, 5
+#: A text of this many characters is in no learned language if none has half of the probability; a shorter one tells too little.
+ENOUGH_CHARS, LEAST_SCORE = 64, 0.5
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _stage(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), which is to return these columns, on columns that clash with nothing."""
+    return shielded(docs, DOCUMENT, (), lambda d: work(d).select(*d.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter are rejected, and only those if there is nothing to learn from."""
+    """Documents in a learned language, whose prediction fills a lang that isn't given.
+
+    Texts without a letter are rejected, and only those if there is nothing to learn from.
+    """
     model = langid.fit(docs)
     if model is None:  # no row to learn from
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return langid.identify(docs, model).filter(F.col("lang_pred") != "und").select(*docs.columns)
+    unsure = (F.col("score") < LEAST_SCORE) & (F.length("text") >= ENOUGH_CHARS)
+    known = lambda d: langid.identify(d, model).filter((F.col("lang_pred") != "und") & ~unsure)
+    return _stage(docs, lambda d: known(d).withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand elsewhere; scraps of documents go."""
-    out = line_dedup.line_dedup(docs).filter("kept")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = lambda d: line_dedup.line_dedup(d).filter("kept")
+    return _stage(docs, lambda d: left(d).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of each group of near-duplicates."""
     found = minhash.near_duplicates(docs.select("doc_id", "text"), PERCENT, SHINGLE, BANDS, ROWS)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return _stage(docs, lambda d: d.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document in the mix."""
-    out = mixing.mix(docs).filter("n_copies > 0")
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("n_copies")))
-    return out.withColumn("__copy", copies).select(*docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("n_copies"))).alias("copy")
+    return _stage(docs, lambda d: mixing.mix(d).select("*", copies))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
