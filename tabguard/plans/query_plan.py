@@ -112,8 +112,8 @@ def execute_plan(df: DataFrame, plan: dict) -> DataFrame:
         out = out.groupBy(*map(col, groups)).agg(F.count("*").alias("count"))
     order = []
     for key in _as_list(plan.get("sort")):
-        key = key if isinstance(key, dict) else {"column": key}
-        name = need(key.get("column"), out.columns, "sort column", PlanError)
+        key = key if isinstance(key, dict) else {"by": key}
+        name = need(key.get("by", key.get("column")), out.columns, "sort column", PlanError)
         descending = bool(key.get("desc") or key.get("descending") or str(key.get("order", "")).lower() == "desc")
         order.insert(0, col(name).desc_nulls_last() if descending else col(name).asc_nulls_last())
     if order:  # the last key dominates
