@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,21 +49,31 @@ def trim(df: DataFrame, columns=None) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-@F.pandas_udf(T.StringType())
-def _title(x: pd.Series) -> pd.Series:
-    return x.str.title()
+def _given(value, synonym):
+    """A parameter, or its synonym."""
+    return value if synonym is None else synonym
+
+
+def _title(c: Column) -> Column:
+    """Each run of cased letters with a capital first; anything else, an apostrophe too, ends a run."""
+    runs = F.regexp_extract_all(c, F.lit(r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]+|[^\p{IsLowercase}\p{IsUppercase}\p{Lt}]+"), F.lit(0))
+    # the capital of one letter may be two (ss for a sharp s), of which the second stays small
+    first = lambda x: F.upper(F.left(x, F.lit(1)))
+    capital = lambda x: F.concat(F.left(first(x), F.lit(1)), F.lower(F.substr(first(x), F.lit(2))), F.lower(F.substr(x, F.lit(2))))
+    return F.array_join(F.transform(runs, capital), "")
 
 
 @op
-def case(df: DataFrame, columns=None, mode: str = "lower") -> DataFrame:
-    """Change case: upper, lower, title or sentence."""
+def case(df: DataFrame, columns=None, to: str = "title", mode: str | None = None) -> DataFrame:
+    """Change case: to (or mode) upper, lower, title or sentence."""
+    to = _given(to, mode)
     modes = {
         "upper": F.upper,
         "lower": F.lower,
         "title": _title,
         "sentence": lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2)))),
     }
-    change = modes[need(mode, modes, "mode")]
+    change = modes[need(to, modes, "case")]
     new = {c: change(col(c)) for c in _columns(df, columns) if _is_text(df, c)}
     return df.withColumns(new) if new else df
 
@@ -107,32 +116,42 @@ def concat_columns(df: DataFrame, columns, into: str, separator: str = " ") -> D
 
 
 @op
-def slice_text(df: DataFrame, column: str, mode: str = "left", length: int = 1, start: int = 1, into: str | None = None) -> DataFrame:
-    """The left or right characters, or those from a place on (counted from 1)."""
-    (c,) = _columns(df, column)
-    text = _text(df, c)
-    modes = {
-        "left": F.left(text, F.lit(length)),
-        "right": text if length == 0 else F.right(text, F.lit(length)),
-        "mid": F.substr(text, F.lit(max(1, start)), F.lit(length)),
-    }
-    return df.withColumn(into or c, modes[need(mode, modes, "mode")])
+def slice_text(df: DataFrame, columns=None, side: str = "left", length: int = 1, start: int = 1, into: str | None = None, column: str | None = None, mode: str | None = None) -> DataFrame:
+    """The left or right characters (side, or mode), or with mid those from a place on (counted from 1)."""
+    names = _columns(df, _given(columns, column))
+    if into and len(names) != 1:
+        raise TableError("into takes one column")
+    side, new = _given(side, mode), {}
+    for c in names:
+        text = _text(df, c)
+        sides = {
+            "left": F.left(text, F.lit(length)),
+            "right": text if length == 0 else F.right(text, F.lit(length)),
+            "mid": F.substr(text, F.lit(max(1, start)), F.lit(length)),
+        }
+        new[into or c] = sides[need(side, sides, "side")]
+    return df.withColumns(new)
+
+
+def _operand(df: DataFrame, x) -> Column:
+    """A column by its name, or a number."""
+    if isinstance(x, str) and x in df.columns:
+        return try_number(col(x), type_of(df, x))
+    try:
+        return F.lit(float(x))
+    except (TypeError, ValueError):
+        need(x, data_columns(df), "column")
 
 
 @op
-def math(df: DataFrame, column: str, operator: str, operand, into: str | None = None) -> DataFrame:
-    """Add, subtract, multiply or divide by a column or a number; by zero gives nothing."""
-    (c,) = _columns(df, column)
-    a = try_number(col(c), type_of(df, c))
-    if isinstance(operand, str) and operand in df.columns:
-        b = try_number(col(operand), type_of(df, operand))
-    else:
-        try:
-            b = F.lit(float(operand))
-        except (TypeError, ValueError):
-            need(operand, data_columns(df), "column")
+def math(df: DataFrame, left=None, op: str | None = None, right=None, into: str | None = None, column: str | None = None, operator: str | None = None, operand=None) -> DataFrame:
+    """left op right (or column operator operand), with + - * /, of columns or numbers; by zero gives nothing."""
+    left, op, right = _given(left, column), _given(op, operator), _given(right, operand)
+    a, b = _operand(df, left), _operand(df, right)
+    if not into and not (isinstance(left, str) and left in df.columns):
+        raise TableError("into must name a column where left is a number")
     made = {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}
-    return df.withColumn(into or c, made[need(operator, made, "operator")])
+    return df.withColumn(into or left, made[need(op, made, "operator")])
 
 
 @op
@@ -166,9 +185,9 @@ def date_pattern(strftime: str) -> str:
 
 
 @op
-def parse_date(df: DataFrame, columns=None, format: str = "%Y-%m-%d") -> DataFrame:
-    """Read dates in mixed formats, day first, and write them in one; others stay."""
-    pattern, new = date_pattern(format), {}
+def parse_date(df: DataFrame, columns=None, output_format: str = "%Y-%m-%d", format: str | None = None) -> DataFrame:
+    """Read dates in mixed formats, day first, and write them in one (output_format, or format); others stay."""
+    pattern, new = date_pattern(_given(output_format, format)), {}
     for c in _columns(df, columns):
         when = try_date(col(c), type_of(df, c))
         new[c] = F.coalesce(F.date_format(when, pattern), _text(df, c))
@@ -226,10 +245,11 @@ def fill_down(df: DataFrame, columns=None) -> DataFrame:
 
 
 @op
-def dedupe(df: DataFrame, keys=None, keep: str = "first", aggregations: dict[str, str] | None = None) -> DataFrame:
-    """One row per key: the first, the last, or aggregates (sum, max, min, mean, first, last)."""
-    need(keep, {"first", "last", "aggregate"}, "keep")
-    names = _columns(df, keys)
+def dedupe(df: DataFrame, columns=None, keep: str = "first", aggregate: dict[str, str] | None = None, keys=None, aggregations: dict[str, str] | None = None) -> DataFrame:
+    """One row per columns (or keys): the first, the last, or aggregate (or aggregations): sum, max, min, mean, first, last."""
+    aggregations = _given(aggregate, aggregations)
+    keep = "aggregate" if aggregations else need(keep, {"first", "last", "aggregate"}, "keep")
+    names = _columns(df, _given(columns, keys) or None)
     others = [c for c in data_columns(df) if c not in names]
     if keep != "aggregate":
         # the row itself travels as the value of a mergeable aggregate, so no key's rows meet unmerged

@@ -16,7 +16,7 @@ from tabguard.plans.planner import Planner, context, json_call
 
 Mapper = Callable[[str, str], str]
 #: Steps that change values, and so write copies unless told to replace.
-VALUE_OPS = {"trim", "case", "replace_text", "remove_chars", "math", "absolute", "strip_currency", "parse_date", "slice_text"}
+VALUE_OPS = {"trim", "case", "replace_text", "remove_chars", "math", "absolute", "strip_currency", "parse_date", "slice_text", "fill_down"}
 SUFFIX = "_ai"
 MAP_OP = "llm_map"
 PREVIEW_ROWS = 20
@@ -93,8 +93,10 @@ def apply_recipe(df: DataFrame, recipe: dict, replace: bool = False, mapper: Map
             df = map_values(df, params["column"], mapper, params["instruction"], params["into"])
             continue
         if name in VALUE_OPS and not replace:
-            key = "column" if "column" in inspect.signature(OPS[name]).parameters else "columns"
+            key = next((k for k in ("columns", "column", "left") if k in params), "columns")
             given = params.get(key)
+            if key == "left" and given not in df.columns:  # a number
+                given = None
             if given is not None and not params.get("into"):
                 names = [given] if isinstance(given, str) else list(given)
                 copies = {}
@@ -106,7 +108,7 @@ def apply_recipe(df: DataFrame, recipe: dict, replace: bool = False, mapper: Map
                 if copies:
                     df = df.withColumns(copies)
                 targets = [c if c.endswith(SUFFIX) else c + SUFFIX for c in names]
-                params[key] = targets[0] if isinstance(given, str) and key == "column" else targets
+                params[key] = targets[0] if isinstance(given, str) else targets
         df = apply_ops(df, [{"op": name, "params": params}])
     return df
 
