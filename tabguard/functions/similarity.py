@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,20 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    out = []
-    for pair in zip(a, b):
-        if pair not in known:
-            known[pair] = None if None in pair else SequenceMatcher(None, *pair).ratio()
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+def _matched(a: str, b: str, least: float) -> float:
+    """The ratio; 0 if the characters in common already rule out the least one."""
+    if least > 0 and a and b:
+        common = sum((Counter(a) & Counter(b)).values())
+        if 2 * common < least * (len(a) + len(b)) - 1e-9:
+            return 0.0
+    return SequenceMatcher(None, a, b).ratio()
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """2 * matches / total length; the order of the arguments matters."""
-    return _ratio(a, b)
+def ratio(a: Column, b: Column, least: float = 0) -> Column:
+    """2 * matches / total length, in the blocks of difflib; the order of the arguments matters.
+
+    What is certainly below least may come out as 0.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for pair in zip(x, y):
+            if pair not in known:
+                known[pair] = None if None in pair else _matched(*pair, least)
+            out.append(known[pair])
+        return pd.Series(out, dtype="float64")
+
+    return run(a, b)
 
 
 def length_bound(a: Column, b: Column) -> Column:
@@ -38,7 +51,7 @@ def normalised(name: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """0 to 100 with two decimals; 0 if a side is empty."""
+def name_similarity(a: Column, b: Column, least: float = 0) -> Column:
+    """0 to 100 with two decimals; 0 if a side is empty. What is certainly below least may come out as 0."""
     x, y = normalised(F.coalesce(a, F.lit(""))), normalised(F.coalesce(b, F.lit("")))
-    return F.when((x == "") | (y == ""), 0.0).otherwise(F.round(100 * ratio(x, y), 2))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(F.round(100 * ratio(x, y, (least - 0.01) / 100), 2))

@@ -13,23 +13,23 @@ WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 EMPTY_WORDS = ("", "nan", "null", "none", "n/a", "na")
 NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 CURRENCY = "₹$€£"
-#: Day-first patterns, the first that fits wins.
-DATE_PATTERNS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/M/d",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "d.M.yyyy",
-    "d MMM yyyy",
-    "d-MMM-yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "M/d/yyyy",
-    "yyyyMMdd",
-)
+#: Day-first patterns, the first that fits wins, and the shape that a text must have to be tried with each.
+DATE_PATTERNS = {
+    "yyyy-MM-dd HH:mm:ss": "[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}",
+    "yyyy-MM-dd'T'HH:mm:ss": "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}",
+    "yyyy-MM-dd": "[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "yyyy/M/d": "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
+    "d/M/yyyy": "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "d-M-yyyy": "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+    "d.M.yyyy": "[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}",
+    "d MMM yyyy": "[0-9]{1,2} [A-Za-z]{3,4} [0-9]{4}",
+    "d-MMM-yyyy": "[0-9]{1,2}-[A-Za-z]{3,4}-[0-9]{4}",
+    "d MMMM yyyy": "[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}",
+    "MMM d, yyyy": "[A-Za-z]{3,4} [0-9]{1,2}, [0-9]{4}",
+    "MMMM d, yyyy": "[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}",
+    "M/d/yyyy": "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "yyyyMMdd": "[0-9]{8}",
+}
 
 
 def col(name: str) -> Column:
@@ -87,8 +87,10 @@ def try_date(c: Column, kind: T.DataType | None = None) -> Column:
     if kind is not None and not isinstance(kind, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     text = strip(c)
-    found = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATE_PATTERNS])
-    return F.when(text.rlike(r"\A[0-9A-Za-z][0-9A-Za-z ,./:-]{5,24}\z") & text.rlike("[0-9]"), found)
+    # a text that doesn't fit costs an exception, so its shape is tested first
+    tried = lambda p, shape: F.when(text.rlike(rf"\A{shape}\z"), F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz"))
+    found = F.coalesce(*[tried(p, shape) for p, shape in DATE_PATTERNS.items()])
+    return F.when(text.rlike(r"\A[0-9A-Za-z][0-9A-Za-z ,./:-]{5,18}\z"), found)
 
 
 def shape(c: Column) -> Column:
