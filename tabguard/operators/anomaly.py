@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.errors import TableError
 from tabguard.functions.similarity import length_bound, ratio
 from tabguard.functions.text import ROW, col, data_columns, is_empty, is_number, norm_text, number_text, shape, strip, try_number, type_of
+from tabguard.operators.graph import cut
 from tabguard.operators.iforest import Forest, fit_forest
 from tabguard.operators.ordered import neighbours
+from tabguard.operators.quantiles import quantiles
 
 FLAG = "row bigint, kind string, confidence double, reason string, columns array<string>"
 NEIGHBOURS, NEAR = 3, 0.9
 SAMPLE = 256
+#: Rows of the pool from which the trees of a forest draw theirs.
+POOL_ROWS = 16 * SAMPLE
 
 
 def _flag(kind: str, confidence: Column, reason: Column, columns: Column) -> list[Column]:
@@ -45,8 +49,8 @@ def numeric_view(df: DataFrame, names: list[str]) -> DataFrame:
     view = df.select(ROW, *numbers)
     if not names:
         return view
-    medians = view.agg(*[F.coalesce(F.median(f"x{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(len(names))]).first()
-    return view.select(ROW, *[F.coalesce(F.col(f"x{i}"), F.lit(medians[f"m{i}"])).alias(f"x{i}") for i in range(len(names))])
+    middle = quantiles(view, [f"x{i}" for i in range(len(names))], [0.5])
+    return view.select(ROW, *[F.coalesce(F.col(x), F.lit(m[0] if m else 0.0)).alias(x) for x, m in middle.items()])
 
 
 def column_outliers(df: DataFrame) -> DataFrame:
@@ -55,12 +59,12 @@ def column_outliers(df: DataFrame) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame([], FLAG)
     view = numeric_view(df, names)
-    stats = view.agg(*[F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i in range(len(names))]).first()
+    stats = quantiles(view, [f"x{i}" for i in range(len(names))], [0.25, 0.75])
     tests = []
     for i, c in enumerate(names):
-        if stats[f"q{i}"] is None:
+        if stats[f"x{i}"] is None:
             continue
-        q1, q3 = stats[f"q{i}"]
+        q1, q3 = stats[f"x{i}"]
         span = q3 - q1
         if span == 0:
             continue
@@ -120,7 +124,7 @@ def near_duplicate_rows(df: DataFrame) -> DataFrame:
     rows = df.select(ROW, F.concat_ws(" | ", *parts).alias("text"), F.array(*parts).alias("cells"))
     pairs = neighbours(rows, ["text", ROW], NEIGHBOURS)
     a, b = F.col("a.text"), F.col("b.text")
-    close = pairs.filter((a != b) & (length_bound(a, b) >= NEAR)).withColumn("r", ratio(a, b)).filter(F.col("r") >= NEAR)
+    close = pairs.filter((a != b) & (length_bound(a, b) >= NEAR)).withColumn("r", ratio(a, b, NEAR)).filter(F.col("r") >= NEAR)
     differ = F.filter(
         F.transform(F.arrays_zip(F.col("a.cells").alias("x"), F.col("b.cells").alias("y")), lambda z, i: F.when(z["x"] != z["y"], F.get(F.array(*[F.lit(c) for c in names]), i))),
         lambda x: x.isNotNull(),
@@ -136,13 +140,19 @@ def near_duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def multivariate_outliers(df: DataFrame, sensitivity: float, seed: int = 42) -> DataFrame:
-    """Rows that an isolation forest separates soonest, as many as the sensitivity says."""
+def multivariate_outliers(df: DataFrame, sensitivity: float, seed: int = 42, pool_rows: int = POOL_ROWS) -> DataFrame:
+    """Rows that an isolation forest separates soonest, as many as the sensitivity says.
+
+    The trees draw their rows from a pool of pool_rows rows; all rows are scored.
+    """
     names = numeric_columns(df)
     view = numeric_view(df, names)
     if not names or view.limit(10).count() < 10:
         return df.sparkSession.createDataFrame([], FLAG)
-    sample = view.orderBy(F.xxhash64(ROW, F.lit(seed)), ROW).limit(SAMPLE * 16).drop(ROW).toPandas()  # bounded
+    draw, n = F.xxhash64(ROW, F.lit(seed)), view.count()
+    # twice as many rows as are wanted pass a filter, so that a task sends few, however many tasks there are
+    few = view.filter(F.pmod(draw, F.lit(1 << 40)) < int(min(1.0, (2 * pool_rows + 100) / n) * (1 << 40)))
+    sample = few.orderBy(draw, ROW).limit(pool_rows).drop(ROW).toPandas()  # bounded
     forest: Forest = fit_forest(sample.to_numpy(float), SAMPLE, seed)
     width = len(names)
 
@@ -151,9 +161,9 @@ def multivariate_outliers(df: DataFrame, sensitivity: float, seed: int = 42) ->
         return pd.Series(forest.score(pd.concat(x, axis=1).to_numpy(float)))
 
     xs = [F.col(f"x{i}") for i in range(width)]
-    scored = view.withColumn("s", score(*xs))
+    scored = cut(view.withColumn("s", score(*xs)))
+    least = quantiles(scored, ["s"], [sensitivity])["s"][0]
     stats = scored.agg(
-        F.percentile("s", F.lit(sensitivity)).alias("cut"),
         F.max("s").alias("high"),
         F.min("s").alias("low"),
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
@@ -170,7 +180,7 @@ def multivariate_outliers(df: DataFrame, sensitivity: float, seed: int = 42) ->
     detail = F.array_join(F.transform(told, lambda t: F.concat(t["c"], F.lit("="), t["v"])), "; ")
     confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(stats["high"]) - F.col("s")) / span))
     reason = F.concat(F.lit("Row doesn't fit the pattern of the table; most unusual: "), detail)
-    return scored.filter(F.col("s") < stats["cut"]).select(*_flag("multivariate_outlier", confidence, reason, F.transform(told, lambda t: t["c"])))
+    return scored.filter(F.col("s") < least).select(*_flag("multivariate_outlier", confidence, reason, F.transform(told, lambda t: t["c"])))
 
 
 def detect_anomalies(df: DataFrame, sensitivity: float = 0.05) -> DataFrame:

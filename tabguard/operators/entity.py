@@ -94,7 +94,7 @@ def duplicate_edges(df: DataFrame, columns: list[str], threshold: float) -> Data
     rows = df.select(ROW, normalised(F.concat_ws(" ", *[_text(df, c) for c in columns])).alias("text"))
     pairs = neighbours(rows, ["text", ROW], NEIGHBOURS)
     a, b = F.col("a.text"), F.col("b.text")
-    close = pairs.filter(100 * length_bound(a, b) >= threshold).withColumn("score", F.round(100 * ratio(a, b), 2))
+    close = pairs.filter(100 * length_bound(a, b) >= threshold).withColumn("score", F.round(100 * ratio(a, b, (threshold - 0.01) / 100), 2))
     return close.filter((F.col("score") >= threshold) & (a != "") & (b != "")).select(F.col(f"a.{ROW}").alias("row_a"), F.col(f"b.{ROW}").alias("row_b"), "score")
 
 

@@ -6,10 +6,8 @@ the buckets are filters on it.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.errors import TableError, need
@@ -20,8 +18,8 @@ from tabguard.operators.graph import components
 
 DIFFERENCE = "struct<field:string,a:string,b:string,diff_abs:double,diff_pct:double>"
 SECONDS_A_DAY = 86_400
-#: Fields of the plan, and what a profile may hold.
-PROFILE_KEYS = {"keys", "tolerance", "fuzzy_keys", "pre_recipe_a", "pre_recipe_b", "dedupe_a", "dedupe_b"}
+#: What a profile may hold; the name says nothing here.
+PROFILE_KEYS = {"name", "keys", "tolerance", "fuzzy_keys", "pre_recipe_a", "pre_recipe_b", "dedupe_a", "dedupe_b"}
 
 
 def _key(c: Column, kind) -> Column:
@@ -42,7 +40,7 @@ def _equal(a: Column, b: Column, kind_a, kind_b, tolerance: dict) -> Column:
     text = same
     if fuzzy:
         p, q = norm_text(number_text(a, kind_a)), norm_text(number_text(b, kind_b))
-        text = same | ((length_bound(p, q) >= fuzzy) & (ratio(p, q) >= fuzzy))
+        text = same | ((length_bound(p, q) >= fuzzy) & (ratio(p, q, fuzzy) >= fuzzy))
     out = F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False)
     out = out.when(same, True)  # what reads the same is the same number and the same date, without parsing either
     if not (is_date(kind_a) or is_date(kind_b)):
@@ -175,7 +173,7 @@ def _fuzzy_links(alone_a: DataFrame, alone_b: DataFrame, threshold: float) -> Da
     near = x.join(y, "token").filter(length_bound(F.col("ta"), F.col("tb")) >= threshold).drop("token").distinct()
     common = F.size(F.array_intersect(_characters(F.col("ta")), _characters(F.col("tb"))))
     near = near.filter(2 * common >= threshold * (F.length("ta") + F.length("tb")) - 1e-9)
-    found = near.withColumn("s", ratio(F.col("ta"), F.col("tb"))).filter(F.col("s") >= threshold)
+    found = near.withColumn("s", ratio(F.col("ta"), F.col("tb"), threshold)).filter(F.col("s") >= threshold)
     found = found.select("ka", "pa", "kb", "pb", "s")
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
