@@ -10,12 +10,15 @@ from pyspark.sql import types as T
 
 from tabguard.errors import IngestError, TableError
 from tabguard.functions.text import ROW, col, is_empty, try_number
+from tabguard.sources import store
+from tabguard.sources.xlsx import read_xlsx, write_xlsx
 
 EXTENSIONS = (".xlsx", ".xlsm", ".xls", ".csv", ".tsv", ".parquet")
 DELIMITERS = (",", ";", "\t", "|")
 #: The encodings that are tried, in this order.
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin1")
 OVERFLOW = "_overflow"
+HEAD_BYTES = 1 << 16
 
 
 def with_row_id(df: DataFrame, first: int = 2) -> DataFrame:
@@ -38,19 +41,11 @@ def with_row_id(df: DataFrame, first: int = 2) -> DataFrame:
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    """The first part of a file, through Spark's own file systems."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        raise FileNotFoundError(path)
-    if fs.getFileStatus(p).isDirectory():
-        parts = [s.getPath() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))]
-        if not parts:
-            raise IngestError(f"{path} holds no file")
-        p = sorted(parts, key=lambda x: x.getName())[0]
-    row = spark.read.format("binaryFile").load(p.toString()).select(F.substring("content", 1, 65536).alias("c")).first()
-    return bytes(row["c"])
+    """The first part of a file, through Spark's own file systems; no more of it is read."""
+    if (first := store.first_file(spark, path)) is None:
+        raise IngestError(f"{path} holds no file")
+    with store.reader(spark, first) as f:
+        return f.read(HEAD_BYTES)
 
 
 def sniff(head: bytes) -> tuple[str, str, list[str]]:
@@ -75,14 +70,23 @@ def sniff(head: bytes) -> tuple[str, str, list[str]]:
     return encoding, delimiter, names
 
 
-def _read_delimited(spark: SparkSession, path: str, delimiter: str | None, header: bool = True) -> DataFrame:
+def _has_long_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes over several lines: then a line has an odd number of quotes."""
+    lines = spark.read.text(path)
+    return not lines.filter(F.pmod(F.length(F.regexp_replace("value", '[^"]', "")), F.lit(2)) == 1).isEmpty()
+
+
+def _read_delimited(spark: SparkSession, path: str, delimiter: str | None, header: bool = True, multiline: bool | None = None) -> DataFrame:
+    """multiline: whether cells may go over several lines, which makes a task of each file; None: if any does."""
     encoding, found, names = sniff(_head(spark, path))
-    delimiter = delimiter or found
+    delimiter, path = delimiter or found, store.plain_path(path)
+    if multiline is None:
+        multiline = _has_long_cells(spark, path)
     # one column more than the header has: a row that fills it is too long, and left out
     reader = (
         spark.read.option("sep", delimiter)
         .option("encoding", "ISO-8859-1" if encoding in ("cp1252", "latin1") else "UTF-8")
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", False)
@@ -120,8 +124,12 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def load(spark: SparkSession, path: str, sheet: str | None = None, infer: bool = True) -> DataFrame:
-    """A file as a table with row numbers."""
+def load(spark: SparkSession, path: str, sheet: str | None = None, infer: bool = True, multiline: bool | None = None) -> DataFrame:
+    """A file as a table with row numbers.
+
+    A csv is split among tasks, unless a quoted cell goes over several lines. That is found
+    by a scan of the quotes, or given.
+    """
     suffix = PurePosixPath(path).suffix.lower()
     sheet = normalise_optional(sheet)
     if suffix not in EXTENSIONS:
@@ -131,13 +139,9 @@ def load(spark: SparkSession, path: str, sheet: str | None = None, infer: bool =
     if suffix == ".xls":
         raise IngestError("the old binary .xls can't be read; save it as .xlsx")
     if suffix in (".xlsx", ".xlsm"):
-        from tabguard.sources.xlsx import XlsxSource
-
-        spark.dataSource.register(XlsxSource)
-        reader = spark.read.format("xlsx").option("path", path)
-        df = (reader.option("sheet", sheet) if sheet else reader).load()
+        df = read_xlsx(spark, path, sheet)
     else:
-        df = with_row_id(_read_delimited(spark, path, "\t" if suffix == ".tsv" else None))
+        df = with_row_id(_read_delimited(spark, path, "\t" if suffix == ".tsv" else None, multiline=multiline))
     return infer_types(df) if infer else df
 
 
@@ -181,8 +185,6 @@ def write(df: DataFrame, path: str, source: str | None = None) -> str:
     elif suffix == ".tsv":
         out.option("header", True).option("sep", "\t").csv(path)
     elif suffix == ".xlsx":
-        from tabguard.sources.xlsx import write_xlsx
-
         write_xlsx({"Sheet1": df.drop(ROW)}, path)
     else:
         out.parquet(path)

@@ -189,3 +189,63 @@ def test_the_query_trains_on_all_labelled_rows(spark, monkeypatch):
     monkeypatch.setattr(risk, "train", lambda rows, *_, **settings: (rows.count(), settings))
     monkeypatch.setattr(risk, "score", lambda rows, count, settings: (rows.count(), count, settings))
     assert queries.queries()["risk_score"](spark, "") == (413, 413, {})
+
+
+def test_large_sheets_in_parts(spark, tmp_path):
+    from tabguard.sources import xlsx
+
+    df = spark.range(30000).selectExpr("id AS k", "concat('name <', id, '>') AS name", "id / 4 AS x").coalesce(1)
+    path = write_xlsx({"One": df}, str(tmp_path / "large.xlsx"))
+    for size in (1 << 30, 300_000, 70_001):
+        got = xlsx.read_xlsx(spark, path, None, size)
+        assert got.rdd.getNumPartitions() == -(-_sheet_size(path) // size)
+        rows = sorted((r["_row"], r["k"], r["name"], r["x"]) for r in got.collect())
+        assert rows == [(i + 2, str(i), f"name <{i}>", str(i / 4)) for i in range(30000)]
+
+
+def _sheet_size(path):
+    import zipfile
+
+    with zipfile.ZipFile(path) as book:
+        return book.getinfo("xl/worksheets/sheet1.xml").file_size
+
+
+def test_rows_that_exceed_a_sheet_go_on(spark, tmp_path, monkeypatch):
+    from tabguard.sources import xlsx
+
+    monkeypatch.setattr(xlsx, "MOST_ROWS", 40)
+    path = write_xlsx({"A": spark.range(100).coalesce(1), "B": spark.range(3).coalesce(1)}, str(tmp_path / "o.xlsx"))
+    got = [r["id"] for s in ("A", "A (2)", "A (3)") for r in files.load(spark, path, s).orderBy("_row").collect()]
+    assert got == list(range(100)) and files.load(spark, path, "B").count() == 3
+
+
+def test_sheets_with_prefixes_and_without_numbers(tmp_path):
+    import io
+
+    from tabguard.sources import xlsx
+
+    head = b'<?xml version="1.0"?><x:worksheet xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:m="urn:m"><x:cols/><x:sheetData>'
+    body = b"".join(b'<x:row m:a="1"><x:c t="inlineStr"><x:is><x:t>v%d</x:t></x:is></x:c></x:row>' % i for i in range(3000)) + b"<x:row/>"
+    data = head + body + b"</x:sheetData><x:rowBreaks/></x:worksheet>"
+    for cuts in ([0, 1 << 62], [0, 999, 50000, 100000, 1 << 62]):
+        got = [(n, x) for a, b in zip(cuts, cuts[1:]) for n, x, _ in xlsx._elements(io.BytesIO(data), a, b)]
+        assert [n for n, _ in got] == list(range(1, 3002)) and b"".join(x for _, x in got) == body
+
+
+def test_long_cells_and_splits(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('k,note\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    got = files.load(spark, str(tmp_path / "m.csv")).orderBy("_row").collect()
+    assert [(r["k"], r["note"]) for r in got] == [(1.0, 'two\nlines, "quoted"'), (2.0, "plain")]
+    (tmp_path / "s [1].csv").write_text("k,v\n" + "".join(f'{i},"a ""b"" {i}"\n' for i in range(200000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    try:
+        df = files.load(spark, str(tmp_path / "s [1].csv"))
+        assert df.rdd.getNumPartitions() > 4
+        assert df.filter("_row <> k + 2 OR v <> concat('a \"b\" ', CAST(k AS INT))").count() == 0 and df.count() == 200000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_only_the_head_of_a_file_is_read(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("k,v\n" + "1,2\n" * 50000)
+    assert len(files._head(spark, str(tmp_path / "h.csv"))) == files.HEAD_BYTES
