@@ -134,3 +134,47 @@ def test_neighbours_are_the_next_in_order(table, n):
     got = {(r["a"]["_row"], r["b"]["_row"]) for r in neighbours(df, ["k", "_row"], 3).collect()}
     order = sorted((v, i + 2) for i, v in enumerate(values))
     assert got == {(order[i][1], order[j][1]) for i in range(n) for j in range(i + 1, min(i + 4, n))}
+
+
+def test_stored_recipes_of_other_names_replay(table):
+    df = table(["name", "code", "amount", "when"], [["  ram  o'neil ", "AB1234", 10, "5/3/2024"], ["SITA", "XY9876", 4, "soon"]])
+    steps = [
+        {"op": "trim", "params": {"columns": ["name"]}},
+        {"op": "case", "params": {"columns": "name", "to": "title"}},
+        {"op": "slice_text", "params": {"columns": ["code"], "side": "mid", "start": 3, "length": 2}},
+        {"op": "math", "params": {"into": "rest", "left": 100, "op": "-", "right": "amount"}},
+        {"op": "parse_date", "params": {"columns": "when", "output_format": "%d.%m.%Y"}},
+    ]
+    saved = {"instruction": "monthly", "steps": steps, "note": "n"}
+    assert recipe.validate_recipe(saved) == steps
+    out = recipe.apply_recipe(df, saved, replace=True)
+    assert rows(out, "name", "code", "rest", "when") == [("Ram O'Neil", "12", 90.0, "05.03.2024"), ("Sita", "98", 96.0, "soon")]
+    beside = recipe.apply_recipe(df, {"steps": [steps[2], {"op": "case", "params": {"columns": "name", "to": "lower"}}]})
+    assert rows(beside, "code", "code_ai", "name_ai")[1] == ("XY9876", "98", "sita")
+    agg = clean.apply_ops(table(["id", "amt", "note"], [["1", 10, "a"], ["1", 5, "b"], ["2", 7, "c"]]), [{"op": "dedupe", "params": {"columns": ["id"], "aggregate": {"amt": "sum"}}}])
+    assert rows(agg, "id", "amt", "note") == [("1", 15.0, "a"), ("2", 7.0, "c")]
+    for bad in ({"op": "math", "params": {"left": 1, "op": "+", "right": 2}}, {"op": "case", "params": {"columns": "name", "to": "loud"}}, {"op": "dedupe", "params": {"columns": ["name"], "aggregate": {"amount": "median"}}}):
+        with pytest.raises(RecipeError, match="step 0"):
+            clean.apply_ops(df, [bad])
+
+
+def test_title_as_python(table):
+    texts = ["o'neil bob", "3rd of éTÉ", "straße ẞx", "a-b_c.d", "日本a b", "ΟΔΟΣ ab", "", "x1y2 MCDONALD's", "ﬁne"]
+    assert rows(clean.case(table(["a"], [[t] for t in texts]), "a"), "a") == [(t.title(),) for t in texts]
+
+
+def test_neighbours_of_one_prefix_and_of_other_scripts(table, spark):
+    """Keys with a long common prefix, beyond Latin-1 and equal ones, over several blocks."""
+    from tabguard.operators import ordered
+
+    keys = [f"customer#000{i % 700:05d}" for i in range(900)] + [f"{c}{i}" for c in "kÿĀж日😀" for i in range(60)] + ["same"] * 80 + [""]
+    df = table(["k"], [[k] for k in keys])
+    order = sorted((k.encode(), i + 2) for i, k in enumerate(keys))
+    want = {(order[i][1], order[j][1]) for i in range(len(order)) for j in range(i + 1, min(i + 4, len(order)))}
+    for block in (20_000, 50, 1):
+        old, ordered.BLOCK = ordered.BLOCK, block
+        try:
+            got = {(r["a"]["_row"], r["b"]["_row"]) for r in neighbours(df, ["k", "_row"], 3).collect()}
+        finally:
+            ordered.BLOCK = old
+        assert got == want

@@ -156,3 +156,62 @@ def test_report(spark, ledger, tmp_path):
     assert float(load(spark, path, "summary", infer=False).first()["score"]) < 100
     assert load(spark, path, "data").count() == 50
     assert load(spark, path, "issues").filter("rule_name = 'duplicate_row'").count() == 2
+
+
+def test_report_sheets_are_complete(spark, table, tmp_path, monkeypatch):
+    import re
+    import zipfile
+
+    from tabguard.sources import files
+
+    monkeypatch.setattr(report, "MOST_DATA_ROWS", 50)
+    df = table(["email", "n"], [[f"no mail {i}" if i % 3 else f"u{i}@example.com", i] for i in range(300)])
+    path = report.export_report(df, str(tmp_path / "r.xlsx"), {"formats": {"email": "email"}, "auto": False})
+    data = files.load(spark, path, "Data", infer=False).orderBy("_row").collect()
+    assert len(data) == 51 and "first 50 of 300 rows" in data[-1]["row_number"]
+    issues = files.load(spark, path, "Issues", infer=False)
+    assert issues.count() == 200 and issues.columns == ["_row", "row", "column", "rule_name", "severity", "reason", "value"]
+    summary = files.load(spark, path, "Summary", infer=False).first()
+    assert (summary["rows"], summary["issues"]) == ("300", "200")
+    assert [r["category"] for r in files.load(spark, path, "Working").orderBy("_row").collect()] == list(report.WEIGHTS)
+    with zipfile.ZipFile(path) as book:
+        sheet, styles = book.read("xl/worksheets/sheet1.xml").decode(), book.read("xl/styles.xml").decode()
+    marked = re.findall(r'<c s="(\d+)" t="inlineStr"><is><t xml:space="preserve">(no mail \d+)', sheet)
+    # near-duplicates win over formats
+    style = {k: str(i) for i, k in enumerate(report.FILLS, 2)}
+    assert len(marked) == 33 and {s for s, _ in marked} <= {style["format"], style["duplicate"]} and report.FILLS["format"] in styles
+
+
+def test_reconciliation_report(spark, table, tmp_path):
+    from tabguard.operators.reconcile import run_profile
+    from tabguard.sources import files
+
+    a = table(["id", "amount", "who"], [["1", 10.0, "x"], ["2", 20.0, "y"], ["3", 30.0, "z"], ["9", 1.0, "q"]])
+    b = table(["id", "amount", "who"], [["1", 10.0, "x"], ["2", 25.0, "w"], ["4", 40.0, "v"], ["3", 30.01, "z"]])
+    result = run_profile(a, b, {"name": "monthly", "keys": ["id"], "tolerance": {"numeric": 0.05}})
+    path = report.export_reconciliation(result, str(tmp_path / "r.xlsx"), "monthly")
+    read = lambda s: files.load(spark, path, s, infer=False)
+    said = {r["label"]: r["value"] for r in read("Summary").collect()}
+    assert said.items() >= {"matched": "2", "discrepancies": "1", "match_rate": "0.5", "profile": "monthly", "L1": "1", "L2": "1", "amount": "5.0"}.items()
+    found = read("Discrepancies").orderBy("field")
+    assert [(r["a.id"], r["field"], r["value_a"], r["value_b"], r["diff_abs"]) for r in found.collect()] == [("2", "amount", "20.0", "25.0", "5.0"), ("2", "who", "y", "w", None)]
+    assert read("Matched").count() == 2 and [r["id"] for r in read("Only-in-B").collect()] == ["4"] and [r["id"] for r in read("Only-in-A").collect()] == ["9"]
+    none = run_profile(a, a, {"keys": ["id"]})
+    path = report.export_reconciliation(none, str(tmp_path / "s.xlsx"))
+    assert read("Discrepancies").count() == 0 and read("Matched").count() == 4
+
+
+def test_quantiles_as_sorted_values(spark):
+    import random
+
+    from tabguard.operators.quantiles import quantiles
+
+    r = random.Random(3)
+    for n in (1, 2, 3, 10, 11, 500, 30000):
+        rows = [(r.choice([r.gauss(0, 1), float(r.randrange(5)), None]), None, 7.0) for _ in range(n)] + [(1.0, None, 7.0)]
+        df = spark.createDataFrame(rows, "a double, b double, c double")
+        got = quantiles(df, ["a", "b", "c"], [0.05, 0.25, 0.5, 1.0])
+        x = sorted(v for v, *_ in rows if v is not None)
+        at = [s * (len(x) - 1) for s in (0.05, 0.25, 0.5, 1.0)]
+        assert got["b"] is None and got["c"] == [7.0] * 4
+        assert got["a"] == pytest.approx([x[int(i)] + (x[min(int(i) + 1, len(x) - 1)] - x[int(i)]) * (i - int(i)) for i in at])
