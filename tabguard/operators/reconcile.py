@@ -14,7 +14,7 @@ from tabguard.errors import TableError, need
 from tabguard.functions.similarity import length_bound, ratio
 from tabguard.functions.text import ROW, col, data_columns, is_date, is_number, norm_text, number_text, try_date, try_number
 from tabguard.operators.clean import apply_ops, dedupe
-from tabguard.operators.graph import components
+from tabguard.operators.graph import components, cut
 
 DIFFERENCE = "struct<field:string,a:string,b:string,diff_abs:double,diff_pct:double>"
 SECONDS_A_DAY = 86_400
@@ -138,43 +138,65 @@ def _best(pairs: DataFrame, fields, kinds_a, kinds_b, tolerance, *more: str) ->
     return best.withColumn("match_level", level).select("match_level", "a", "b", "differences", *more)
 
 
-def _characters(text: Column) -> Column:
-    """The characters of a text, each with its number among the equal ones: a set."""
-    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    return F.transform(letters, lambda c, i: F.concat(c, (i + 1 - F.array_position(letters, c)).cast("string")))
+def _grams(text: Column, q: int) -> Column:
+    """The pieces of q characters of a text, each with its number among the equal ones: a set."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substr(text, i, F.lit(q)))
+    pieces = F.array_sort(F.when(F.length(text) >= q, pieces).otherwise(F.array().cast("array<string>")))
+    return F.transform(pieces, lambda c, i: F.concat(c, (i + 1 - F.array_position(pieces, c)).cast("string")))
 
 
-def _prefixes(keys: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """p, t, token: the rarest characters of each key, one of which any partner must have.
+def _needed(n: Column | int, threshold: float, q: int):
+    """How many pieces of q characters a key of n characters has in common with any partner, at least.
 
-    A ratio of t or more needs t / (2 - t) of the key's characters in common, so two keys
-    that have none of their rarest (1 - t / (2 - t)) n + 1 characters in common are apart.
+    A ratio of t needs M >= t (n + m) / 2 matched characters and leaves e <= (1 - t) (n + m)
+    unmatched ones, so there are 1 + e matched blocks at most, which hold M - (q - 1) (1 + e)
+    whole pieces. n + m is 2 n / (2 - t) at least.
     """
+    gain = threshold / 2 - (q - 1) * (1 - threshold)
+    return gain * 2 * n / (2 - threshold) - (q - 1) - 1e-9
+
+
+def _prefixes(keys: DataFrame, counts: DataFrame, threshold: float, q: int) -> DataFrame:
+    """k, p, t, token: the rarest pieces of each key, one of which any partner must have."""
     n = F.length("t")
-    tokens = keys.select("k", "p", "t", F.explode(_characters(F.col("t"))).alias("token")).join(counts, "token")
+    tokens = keys.select("k", "p", "t", F.explode(_grams(F.col("t"), q)).alias("token")).join(counts, "token")
     sorted_ = tokens.groupBy("k", "p", "t").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"))
-    needed = F.ceil(threshold / (2 - threshold) * n - 1e-9).cast("int")
-    return sorted_.select("k", "p", "t", F.inline(F.slice("x", 1, F.greatest(F.lit(1), n - needed + 1)))).drop("n")
+    needed = F.greatest(F.lit(1), F.ceil(_needed(n, threshold, q)).cast("int"))
+    return sorted_.select("k", "p", "t", F.inline(F.slice("x", 1, F.greatest(F.lit(1), n - q + 2 - needed)))).drop("n")
+
+
+def _near(a: DataFrame, b: DataFrame, threshold: float, q: int) -> DataFrame:
+    """Pairs of keys that share one of their rarest pieces and may be long enough."""
+    counts = a.select("t").union(b.select("t")).select(F.explode(_grams(F.col("t"), q)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    x = _prefixes(a, counts, threshold, q).toDF("ka", "pa", "ta", "token")
+    y = _prefixes(b, counts, threshold, q).toDF("kb", "pb", "tb", "token")
+    return x.join(y, "token").filter(length_bound(F.col("ta"), F.col("tb")) >= threshold).drop("token").distinct()
+
+
+def _candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs by pieces of up to three characters; those with a key too short for these by single characters."""
+    q = next((q for q in (3, 2) if threshold / 2 - (q - 1) * (1 - threshold) >= 0.05), 1)
+    if q == 1:
+        return _near(a, b, threshold, 1)
+    short = next(n for n in range(10_000) if _needed(n + 1, threshold, q) > 0)  # longer keys have a piece in common
+    is_short, other = F.length("t") <= short, F.length("t") <= short * (2 - threshold) / threshold + 1
+    out = _near(a.filter(~is_short), b.filter(~is_short), threshold, q)
+    out = out.unionByName(_near(a.filter(is_short), b.filter(other), threshold, 1))
+    return out.unionByName(_near(a.filter(~is_short & other), b.filter(is_short), threshold, 1))
 
 
 def _fuzzy_links(alone_a: DataFrame, alone_b: DataFrame, threshold: float) -> DataFrame:
     """(la, lb, similarity): keys of A, in order of appearance, take the most similar free key of B.
 
-    Candidates share a rare character (see _prefixes), which loses no pair at the
-    threshold. The assignment depends on its order, so it runs in sequence, within the
-    groups of keys that candidates connect.
+    Candidates share a rare piece (see _needed), which loses no pair at the threshold. The
+    assignment depends on its order, so it runs in sequence, within the groups of keys that
+    candidates connect.
     """
     words = lambda k: F.array_join(F.transform(k, lambda x: F.when(x == "null", "").otherwise(F.substr(x, F.lit(2)))), " ")
-    a = alone_a.groupBy("ka").agg(F.min("ra").alias("p")).select(F.col("ka").alias("k"), "p", words(F.col("ka")).alias("t"))
-    b = alone_b.groupBy("kb").agg(F.min("rb").alias("p")).select(F.col("kb").alias("k"), "p", words(F.col("kb")).alias("t"))
-    counts = a.select("t").union(b.select("t")).select(F.explode(_characters(F.col("t"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    x = _prefixes(a, counts, threshold).toDF("ka", "pa", "ta", "token")
-    y = _prefixes(b, counts, threshold).toDF("kb", "pb", "tb", "token")
-    near = x.join(y, "token").filter(length_bound(F.col("ta"), F.col("tb")) >= threshold).drop("token").distinct()
-    common = F.size(F.array_intersect(_characters(F.col("ta")), _characters(F.col("tb"))))
-    near = near.filter(2 * common >= threshold * (F.length("ta") + F.length("tb")) - 1e-9)
-    found = near.withColumn("s", ratio(F.col("ta"), F.col("tb"), threshold)).filter(F.col("s") >= threshold)
-    found = found.select("ka", "pa", "kb", "pb", "s")
+    a = cut(alone_a.groupBy("ka").agg(F.min("ra").alias("p")).select(F.col("ka").alias("k"), "p", words(F.col("ka")).alias("t")))
+    b = cut(alone_b.groupBy("kb").agg(F.min("rb").alias("p")).select(F.col("kb").alias("k"), "p", words(F.col("kb")).alias("t")))
+    near = _candidates(a, b, threshold)
+    found = cut(near.withColumn("s", ratio(F.col("ta"), F.col("tb"), threshold)).filter(F.col("s") >= threshold).select("ka", "pa", "kb", "pb", "s"))
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         out, used = [], set()

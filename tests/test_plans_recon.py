@@ -135,6 +135,19 @@ def test_fuzzy_keys_by_brute_force(table):
     assert pairs == want and want
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.85, 0.95])
+def test_fuzzy_candidates_lose_no_pair(table, threshold):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdef-01") for _ in range(n))
+    left = sorted({word(r.randint(1, 25)) for _ in range(70)} | {"", "a", "ab"})
+    change = lambda w: "".join(c for x in w for c in ([x] if r.random() < 0.93 else [r.choice("abcdef"), x][: r.randint(0, 2)]))
+    right = sorted({change(w) for w in left for _ in range(2)} | {w[::-1] for w in left})
+    frame = lambda ws: table(["k", "t"], [[w, w] for w in ws]).selectExpr("k", "_row AS p", "t")
+    got = {(x["ka"], x["kb"]) for x in reconcile._candidates(frame(left), frame(right), threshold).collect()}
+    want = {(x, y) for x in left for y in right if x and y and SequenceMatcher(None, x, y).ratio() >= threshold}
+    assert want <= got and len(got) < len(left) * len(right)
+
+
 def test_one_to_many_takes_the_closest(table):
     a, b = table(["k", "v"], [["x", 1], ["x", 2]]), table(["k", "v"], [["x", 1]])
     assert counts(reconcile.reconcile(a, b, ["k"])) == {"matched": 1, "discrepancy": 1}
