@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabguard.errors import PlanError  # noqa: F401
 from tabguard.functions import formats
 from tabguard.functions.text import ROW
 from tabguard.operators import anomaly, clean, entity, profile, reconcile, recipe, report, risk, validate
@@ -552,6 +553,9 @@ def source_row_numbers(spark, d):
     return out.agg(F.count_distinct(ROW).alias("n"), F.min(ROW).cast("bigint").alias("low"), F.max(ROW).alias("high"))
 
 
+from tabguard import calls  # noqa: E402, F401  the queries of whole calls register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
