@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tabguard.errors import IngestError, TableError
 from tabguard.functions.text import ROW, col, is_empty, try_number
 from tabguard.sources import store
+from tabguard.sources.xls import read_xls
 from tabguard.sources.xlsx import read_xlsx, write_xlsx
 
 EXTENSIONS = (".xlsx", ".xlsm", ".xls", ".csv", ".tsv", ".parquet")
@@ -136,10 +137,10 @@ def load(spark: SparkSession, path: str, sheet: str | None = None, infer: bool =
         raise IngestError(f"can't read {suffix or 'a file without extension'}; valid: {', '.join(EXTENSIONS)}")
     if suffix == ".parquet":
         return with_row_id(spark.read.parquet(path))
-    if suffix == ".xls":
-        raise IngestError("the old binary .xls can't be read; save it as .xlsx")
     if suffix in (".xlsx", ".xlsm"):
         df = read_xlsx(spark, path, sheet)
+    elif suffix == ".xls":
+        df = read_xls(spark, path, sheet)
     else:
         df = with_row_id(_read_delimited(spark, path, "\t" if suffix == ".tsv" else None, multiline=multiline))
     return infer_types(df) if infer else df

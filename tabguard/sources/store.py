@@ -28,6 +28,26 @@ def first_file(spark: SparkSession, path: str) -> str | None:
     return min(parts, key=lambda x: x.getName()).toString() if parts else None
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, sorted; none if there is no such folder."""
+    p, fs = _open(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def read(spark: SparkSession, path: str) -> bytes:
+    with reader(spark, path) as f:
+        return f.read()
+
+
+def replace(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, in the place of one that may be there."""
+    p, fs = _open(spark, path)
+    if fs.exists(p):
+        fs.delete(p, False)
+    with writer(spark, path) as f:
+        f.write(data)
+
+
 class _Reader(io.RawIOBase):
     def __init__(self, spark: SparkSession, path: str):
         p, fs = _open(spark, path)

@@ -106,6 +106,26 @@ def table_fingerprint(df: DataFrame) -> str:
     return hashlib.sha256(f"{df.columns}{s['n']}{s['s']}{s['x']}".encode()).hexdigest()[:16]
 
 
+def operations() -> dict[str, Callable]:
+    """What can be run in the background by name."""
+    from tabguard.operators import anomaly, clean, entity, profile, recipe, reconcile, report, risk, validate
+
+    return {
+        "profile": profile.profile,
+        "validate": validate.validate,
+        "anomalies": anomaly.detect_anomalies,
+        "reconcile": reconcile.reconcile,
+        "clean": clean.apply_ops,
+        "transform_apply": recipe.apply_recipe,
+        "report": report.export_report,
+        "fraud_train": risk.train,
+        "fraud_score": risk.score,
+        "reconcile_run": reconcile.run_profile,
+        "kyc_match_names": entity.match_names,
+        "kyc_dedupe": entity.dedupe_entities,
+    }
+
+
 class Jobs:
     """Actions run in the background, each in a job group of its own."""
 
@@ -128,6 +148,11 @@ class Jobs:
         self.jobs[key]["future"] = self.pool.submit(work)
         return key
 
+    def run(self, operation: str, *args, **options) -> str:
+        """Submits an operation by its name."""
+        f = operations()[need(operation, operations(), "operation")]
+        return self.submit(operation, lambda: f(*args, **options))
+
     def status(self, key: str) -> dict:
         job = self.jobs[need(key, self.jobs, "job")]
         return {k: v for k, v in job.items() if k != "future"}
