@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabguard.errors import need
 from tabguard.functions.text import strip
@@ -21,6 +22,17 @@ FORMATS = {
 IDENTIFIERS = ("gst", "pan", "aadhaar", "ifsc")
 
 
+#: Formats of digits alone, which a column of whole numbers can have.
+DIGITS = ("aadhaar", "phone")
+
+
+def possible(kind: T.DataType) -> list[str]:
+    """The formats that cells of a type can have: fractions, dates and truth values have none."""
+    if isinstance(kind, T.IntegralType):
+        return list(DIGITS)
+    return list(FORMATS) if isinstance(kind, (T.StringType, T.DecimalType, T.VariantType)) else []
+
+
 def matches(c: Column, name: str) -> Column:
     """True where the trimmed value has the format; null is false."""
     pattern = FORMATS[need(name, FORMATS, "format")]

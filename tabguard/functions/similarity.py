@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,13 +12,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _matched(a: str, b: str, least: float) -> float:
-    """The ratio; 0 if the characters in common already rule out the least one."""
-    if least > 0 and a and b:
-        common = sum((Counter(a) & Counter(b)).values())
-        if 2 * common < least * (len(a) + len(b)) - 1e-9:
-            return 0.0
-    return SequenceMatcher(None, a, b).ratio()
+def _common(a: dict, b: dict) -> int:
+    if len(b) < len(a):
+        a, b = b, a
+    get = b.get
+    return sum(min(n, get(k, 0)) for k, n in a.items())
+
+
+class _Matcher:
+    """Ratios of pairs; those that the pieces in common already rule out are 0."""
+
+    def __init__(self, least: float):
+        self.least, self.known, self.letters, self.pairs = least, {}, {}, {}
+
+    def __call__(self, a: str, b: str) -> float:
+        found = self.known.get((a, b))
+        if found is None:
+            found = self.known[a, b] = 0.0 if self.least > 0 and a and b and self._apart(a, b) else SequenceMatcher(None, a, b).ratio()
+        return found
+
+    def _apart(self, a: str, b: str) -> bool:
+        """A ratio t of n characters needs t n / 2 in common, in 1 + (1 - t) n blocks at most, so as many pairs of neighbours less."""
+        n = len(a) + len(b)
+        pairs = self.least * n / 2 - 1 - (1 - self.least) * n
+        if pairs > 0 and _common(self._pairs(a), self._pairs(b)) < pairs - 1e-9:
+            return True
+        return _common(self._letters(a), self._letters(b)) < self.least * n / 2 - 1e-9
+
+    def _letters(self, x: str) -> dict:
+        if x not in self.letters:
+            self.letters[x] = Counter(x)
+        return self.letters[x]
+
+    def _pairs(self, x: str) -> dict:
+        if x not in self.pairs:
+            self.pairs[x] = Counter(map(add, x, x[1:]))
+        return self.pairs[x]
 
 
 def ratio(a: Column, b: Column, least: float = 0) -> Column:
@@ -28,13 +58,8 @@ def ratio(a: Column, b: Column, least: float = 0) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple, float] = {}
-        out = []
-        for pair in zip(x, y):
-            if pair not in known:
-                known[pair] = None if None in pair else _matched(*pair, least)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+        match = _Matcher(least)
+        return pd.Series([None if a is None or b is None else match(a, b) for a, b in zip(x, y)], dtype="float64")
 
     return run(a, b)
 

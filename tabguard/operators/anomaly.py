@@ -183,12 +183,18 @@ def multivariate_outliers(df: DataFrame, sensitivity: float, seed: int = 42, poo
     return scored.filter(F.col("s") < least).select(*_flag("multivariate_outlier", confidence, reason, F.transform(told, lambda t: t["c"])))
 
 
-def detect_anomalies(df: DataFrame, sensitivity: float = 0.05) -> DataFrame:
-    """All flags, by row and falling confidence."""
+def flags(df: DataFrame, sensitivity: float = 0.05) -> DataFrame:
+    """All flags, in no order."""
     if not 0 < sensitivity < 0.5:
         raise TableError("sensitivity must lie between 0 and 0.5")
     parts = [multivariate_outliers(df, sensitivity), column_outliers(df), rare_categories(df), near_duplicate_rows(df), pattern_breaks(df)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("row", F.desc("confidence"), "kind")
+    return out
+
+
+def detect_anomalies(df: DataFrame, sensitivity: float = 0.05) -> DataFrame:
+    """All flags, by row and falling confidence."""
+    # written first, as a sort by ranges would find them twice
+    return cut(flags(df, sensitivity)).orderBy("row", F.desc("confidence"), "kind")

@@ -52,10 +52,11 @@ def profile_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFrame
     counts = value_counts(df) if counts is None else counts
     v, n = F.col("value"), F.col("n")
     filled = F.when(v.isNotNull(), n)
-    plain = F.when(F.col("kind") == "text", F.regexp_replace(v, ",", "")).otherwise(v)
-    number = F.when(F.col("kind") != "date", try_number(v))
-    tests = {f"is_{f}": formats.matches(v, f) for f in formats.FORMATS}
-    tests |= {"is_money": v.rlike(MONEY), "is_number": try_number(plain).isNotNull(), "is_date": try_date(v).isNotNull()}
+    text = F.col("kind") == "text"
+    number = F.when(F.col("kind") == "number", v.try_cast("double")).when(text, try_number(v))
+    tests = {f"is_{f}": formats.matches(v, f) if f in formats.DIGITS else text & formats.matches(v, f) for f in formats.FORMATS}
+    # what a column of numbers or dates is needs no test of its values
+    tests |= {"is_money": text & v.rlike(MONEY), "is_number": text & try_number(F.regexp_replace(v, ",", "")).isNotNull(), "is_date": text & try_date(v).isNotNull()}
     rows = counts.withColumn("x", number).withColumns(tests)
     share = lambda t: F.coalesce(F.sum(F.when(F.col(t), filled)), F.lit(0)) / F.sum(filled)
     s = rows.groupBy("column", "kind").agg(

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.functions.text import ROW, col
-from tabguard.operators.anomaly import detect_anomalies
+from tabguard.operators.anomaly import flags
 from tabguard.operators.graph import cut
 from tabguard.operators.profile import profile
 from tabguard.operators.reconcile import bucket_counts, buckets, summary, variance_by_field
-from tabguard.operators.validate import validate
+from tabguard.operators.validate import findings
 from tabguard.sources.xlsx import Sheet, write_xlsx
 
 #: Points taken for each percent of rows affected, in order of priority.
@@ -84,11 +84,11 @@ def highlights(findings: DataFrame, flags: DataFrame) -> DataFrame:
 
 def report_frames(df: DataFrame, ruleset=None, sensitivity: float = 0.05, saved: dict | None = None) -> dict[str, DataFrame]:
     """summary, profile, data (with highlights; the first MOST_DATA_ROWS rows), issues and anomalies, which are complete."""
-    findings, flags = cut(validate(df, ruleset, saved)), cut(detect_anomalies(df, sensitivity))
-    marks = highlights(findings, flags).groupBy("row").agg(F.collect_list(F.struct("column", "category")).alias("highlights"))
+    found, flagged = cut(findings(df, ruleset, saved)), cut(flags(df, sensitivity))
+    marks = highlights(found, flagged).groupBy("row").agg(F.collect_list(F.struct("column", "category")).alias("highlights"))
     data = df.orderBy(ROW).limit(MOST_DATA_ROWS).join(marks, col(ROW) == F.col("row"), "left").drop("row")
     order = lambda x: x.orderBy("row", *x.columns[1:3])
-    return {"summary": health_score(df.count(), findings, flags), "profile": profile(df), "data": data, "issues": order(findings), "anomalies": order(flags)}
+    return {"summary": health_score(df.count(), found, flagged), "profile": profile(df), "data": data, "issues": order(found), "anomalies": order(flagged)}
 
 
 def reconciliation_frames(result: DataFrame) -> dict[str, DataFrame]:

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabguard.errors import PlanError, TableError, need
 from tabguard.functions import formats
 from tabguard.functions.text import ROW, category, col, data_columns, is_empty, number_text, strip, try_number, type_of
+from tabguard.operators.graph import cut
 from tabguard.plans.expressions import compile_expression
 
 FINDING = "row bigint, column string, rule_name string, severity string, reason string, value string"
 KEYS = {"required", "formats", "ranges", "unique", "references", "expressions", "auto"}
+CELL_KINDS = ("bool", "datetime", "number", "other", "string")
 #: References of more values than this are joined instead of listed.
 LISTED = 1000
 
@@ -160,9 +163,10 @@ def auto_checks(df: DataFrame) -> DataFrame:
         full[c] = ~is_empty(col(c), kind)
         texts[c] = F.when(full[c], strip(number_text(col(c), kind)))
         parts += [F.count_if(full[c]).alias(f"n{i}")]
-        parts += [F.count_if(formats.matches(texts[c], f)).alias(f"{f}{i}") for f in formats.FORMATS]
-        for kind_name in ("bool", "datetime", "number", "other", "string"):
-            parts.append(F.count_if(full[c] & (category(col(c), kind) == kind_name)).alias(f"is_{kind_name}{i}"))
+        parts += [F.count_if(formats.matches(texts[c], f)).alias(f"{f}{i}") for f in formats.possible(kind)]
+        if not isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType)):  # those are of one category
+            for kind_name in CELL_KINDS:
+                parts.append(F.count_if(full[c] & (category(col(c), kind) == kind_name)).alias(f"is_{kind_name}{i}"))
     stats = df.agg(F.count("*").alias("rows"), *parts).first()  # one row
     rows, tests, more = stats["rows"], [], []
     for i, c in enumerate(names):
@@ -171,14 +175,14 @@ def auto_checks(df: DataFrame) -> DataFrame:
             continue
         if 0.5 <= n / rows < 1:
             tests.append((~full[c], _finding(c, "missing_value", "warning", f"Cell is empty, though most of '{c}' is filled")))
-        fmt = next((f for f in formats.FORMATS if stats[f"{f}{i}"] / n >= 0.8), None)
+        fmt = next((f for f in formats.possible(kind) if stats[f"{f}{i}"] / n >= 0.8), None)
         if fmt:
             fits = formats.matches(texts[c], fmt)
             reason = f"Most of '{c}' are {fmt.upper()} values, this one is not"
             tests.append((full[c] & ~fits, _finding(c, f"format_{fmt}", "error", reason, texts[c])))
             if fmt in formats.IDENTIFIERS:
                 more.append(_repeated(df, c, F.when(fits, texts[c]), "duplicate_id", "warning", f"This {fmt.upper()} value occurs more than once"))
-        counts = {k: stats[f"is_{k}{i}"] for k in ("bool", "datetime", "number", "other", "string")}
+        counts = {k: stats[f"is_{k}{i}"] for k in CELL_KINDS if f"is_{k}{i}" in stats}
         if sum(v > 0 for v in counts.values()) > 1:
             usual = max(counts, key=lambda k: counts[k])  # the first in the alphabet on ties
             own = category(col(c), kind)
@@ -195,12 +199,18 @@ def auto_checks(df: DataFrame) -> DataFrame:
     return out.unionByName(twice.select(finding.alias("f")).select("f.*"))
 
 
-def validate(df: DataFrame, ruleset: str | dict | None = None, saved: dict[str, dict] | None = None) -> DataFrame:
-    """All findings, by row and column."""
+def findings(df: DataFrame, ruleset: str | dict | None = None, saved: dict[str, dict] | None = None) -> DataFrame:
+    """All findings, in no order."""
     if ROW not in df.columns:
         raise TableError(f"the table has no {ROW}; add it with with_row_id()")
     rules = resolve_ruleset(ruleset, saved)
     out = explicit_checks(df, rules)
     if rules.get("auto", True):
         out = out.unionByName(auto_checks(df))
-    return out.orderBy("row", "column", "rule_name")
+    return out
+
+
+def validate(df: DataFrame, ruleset: str | dict | None = None, saved: dict[str, dict] | None = None) -> DataFrame:
+    """All findings, by row and column."""
+    # written first, as a sort by ranges would find them twice
+    return cut(findings(df, ruleset, saved)).orderBy("row", "column", "rule_name")
