@@ -25,14 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Parts into which the nodes that go to one and the same node are split.
-SALTS = 8
+#: Nodes (16 bytes each) up to which where they go is broadcast, and parts into which, beyond that, nodes with the same goal are split.
+BROADCAST_NODES, SALTS = 500_000, 8
 
 
-def _salted(df: DataFrame, key: str, spread: str, table: DataFrame, value: str) -> DataFrame:
-    """df with the value that table has for each key; a frequent key is dealt to SALTS parts."""
+def _looked_up(df: DataFrame, key: str, spread: str, table: DataFrame, value: str, few: bool) -> DataFrame:
+    """df with the value that table has for each key; a frequent key fills no task."""
+    table = table.toDF(key, value)
+    if few:
+        return df.join(F.broadcast(table), key, "left")
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    copies = table.select(F.col(table.columns[0]).alias(key), F.col(table.columns[1]).alias(value), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return df.withColumn("salt", salt).join(copies, [key, "salt"], "left").drop("salt")
 
 
@@ -48,16 +51,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a")).toDF("node", "to")
         near = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")))
-        # where the few nodes go that others go to
-        goals = near.select("up").distinct().withColumnRenamed("up", "node")
-        moved = cut(_salted(near, "up", "node", near.join(goals, "node", "left_semi"), "next").select("node", F.col("next").alias("up")))
+        few = near.count() <= BROADCAST_NODES
+        hint = F.broadcast if few else lambda x: x
+        goals = near if few else near.join(near.select("up").distinct().withColumnRenamed("up", "node"), "node", "left_semi")
+        moved = cut(_looked_up(near, "up", "node", goals, "next", few).select("node", F.col("next").alias("up")))
         if labels is None:
             labels = moved.select("node", F.col("up").alias("label"))
         else:
-            labels = cut(_salted(labels, "label", "node", moved, "up").select("node", F.coalesce("up", "label").alias("label")))
-        ends = edges.join(moved.toDF("a", "x"), "a").join(moved.toDF("b", "y"), "b").select("x", "y")
+            labels = cut(_looked_up(labels, "label", "node", moved, "up", few).select("node", F.coalesce("up", "label").alias("label")))
+        ends = edges.join(hint(moved.toDF("a", "x")), "a").join(hint(moved.toDF("b", "y")), "b").select("x", "y")
         # where a node went may itself have gone on
-        heads = moved.select("up").distinct().join(moved.toDF("up", "next"), "up").select(F.col("up").alias("x"), F.col("next").alias("y"))
+        heads = moved.select("up").distinct().join(hint(moved.toDF("up", "next")), "up").select(F.col("up").alias("x"), F.col("next").alias("y"))
         rest = ends.union(heads).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = cut(rest.distinct())
         if not edges.limit(1).count():

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tabguard.operators import graph
 from tabguard.operators.graph import components
 
 
@@ -35,3 +36,11 @@ def test_components(spark, kind):
     found = components(spark.createDataFrame(edges[kind], "a long, b long"))
     want = {x: y for x, y in brute([e for e in edges[kind] if e[0] != e[1]]).items()}
     assert {r["node"]: r["label"] for r in found.collect()} == want
+
+
+def test_large_graphs_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_NODES", -1)
+    r = random.Random(7)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(0, i) for i in range(100, 160)]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x["node"]: x["label"] for x in found} == {k: v for k, v in brute(edges).items() if any(k in e and e[0] != e[1] for e in edges)}
