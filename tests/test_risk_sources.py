@@ -35,6 +35,11 @@ def test_training(trained, labelled):
     assert card.importances[0][0] != "channel"
 
 
+def test_parallel_fits_change_nothing(labelled):
+    cards = [risk.train(labelled, "label", "demo", trees=3, folds=2, parallel=n)[1] for n in (1, 3)]
+    assert cards[0].metrics == cards[1].metrics and cards[0].importances == cards[1].importances
+
+
 def test_scoring(trained, labelled):
     model, card = trained
     got = risk.score(labelled, model, card).collect()
