@@ -119,8 +119,8 @@ def _elements(f, low: int, high: int) -> Iterator[tuple[int, bytes, bytes]]:
                 start = m.start()
         if not more:
             break
-        # what is done with goes; of the rest a beginning of a row may be cut
-        gone = start if start is not None else max(at - 4, len(buffer) - 64, 0)
+        # what is done with goes; of the rest a beginning of a row may be cut, which may lie across the end of the search
+        gone = start if start is not None else max(at, len(buffer) - 128, 0)
         buffer, base = buffer[gone:], base + gone
         start = 0 if start is not None else None
     if start is not None:

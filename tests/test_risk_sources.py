@@ -254,3 +254,17 @@ def test_long_cells_and_splits(spark, tmp_path):
 def test_only_the_head_of_a_file_is_read(spark, tmp_path):
     (tmp_path / "h.csv").write_text("k,v\n" + "1,2\n" * 50000)
     assert len(files._head(spark, str(tmp_path / "h.csv"))) == files.HEAD_BYTES
+
+
+def test_rows_across_the_end_of_a_chunk_are_counted(monkeypatch):
+    import io
+
+    from tabguard.sources import xlsx
+
+    body = "".join(f"<row><c><v>{'1' * (i % 23)}</v></c></row>" for i in range(300))
+    data = f"<worksheet><sheetData>{body}</sheetData></worksheet>".encode()
+    whole = [(n, x) for n, x, _ in xlsx._elements(io.BytesIO(data), 0, 1 << 62)]
+    assert [n for n, _ in whole] == list(range(1, 301))
+    for chunk in (150, 211, 256, 997):
+        monkeypatch.setattr(xlsx, "CHUNK", chunk)
+        assert [(n, x) for n, x, _ in xlsx._elements(io.BytesIO(data), 9000, 1 << 62)] == [w for w in whole if data.index(b"<row") + sum(len(x) for _, x in whole[: w[0] - 1]) >= 9000]
