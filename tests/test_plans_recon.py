@@ -148,6 +148,21 @@ def test_fuzzy_candidates_lose_no_pair(table, threshold):
     assert want <= got and len(got) < len(left) * len(right)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.9])
+def test_fuzzy_segments_lose_no_pair(table, threshold, monkeypatch):
+    monkeypatch.setattr(reconcile, "FEW_PAIRS", 0)
+    monkeypatch.setattr(reconcile, "GAIN", 0)
+    monkeypatch.setattr(reconcile, "BLOCK", 7)
+    test_fuzzy_candidates_lose_no_pair(table, threshold)
+
+
+def test_fuzzy_keys_that_begin_alike(table):
+    """Where most keys share their pieces, those with too few characters in common are no candidates."""
+    names = [f"Supplier#{i:09d}" for i in range(0, 60_000, 300)]
+    frame = lambda ws: table(["k", "t"], [[w, w] for w in ws]).selectExpr("k", "_row AS p", "t")
+    assert reconcile._candidates(frame(names), frame([n.replace("0", "O") for n in names]), 0.8).isEmpty()
+
+
 def test_one_to_many_takes_the_closest(table):
     a, b = table(["k", "v"], [["x", 1], ["x", 2]]), table(["k", "v"], [["x", 1]])
     assert counts(reconcile.reconcile(a, b, ["k"])) == {"matched": 1, "discrepancy": 1}
