@@ -163,6 +163,14 @@ def test_fuzzy_keys_that_begin_alike(table):
     assert reconcile._candidates(frame(names), frame([n.replace("0", "O") for n in names]), 0.8).isEmpty()
 
 
+def test_fuzzy_keys_broadcast_no_records(table):
+    """Small files may hold large records; these go by sorted joins."""
+    rows = [[f"key{i}", i] for i in range(20)]
+    a, b = table(["k", "v"], rows), table(["k", "v"], [[k.replace("key1", "kez1"), v] for k, v in rows])
+    plan = reconcile.reconcile(a, b, ["k"], fuzzy_keys=0.7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_one_to_many_takes_the_closest(table):
     a, b = table(["k", "v"], [["x", 1], ["x", 2]]), table(["k", "v"], [["x", 1]])
     assert counts(reconcile.reconcile(a, b, ["k"])) == {"matched": 1, "discrepancy": 1}
