@@ -268,3 +268,20 @@ def test_rows_across_the_end_of_a_chunk_are_counted(monkeypatch):
     for chunk in (150, 211, 256, 997):
         monkeypatch.setattr(xlsx, "CHUNK", chunk)
         assert [(n, x) for n, x, _ in xlsx._elements(io.BytesIO(data), 9000, 1 << 62)] == [w for w in whole if data.index(b"<row") + sum(len(x) for _, x in whole[: w[0] - 1]) >= 9000]
+
+
+def test_boosted_trees_are_those_of_spark(spark, table, monkeypatch):
+    r = random.Random(9)
+    rows = [[r.randrange(9), r.choice([0.5, 1.5, 4.0, None]), r.choice("abc")] for _ in range(600)]
+    rows = [[*x, "fraud" if (x[0] > 5) + ((x[1] or 0) > 1) + (x[2] == "b") + r.random() > 2 else "ok"] for x in rows]
+    df = table(["hour", "rate", "channel", "label"], rows)
+    monkeypatch.setattr(risk.boosting, "MOST_CELLS", 0)
+    slow, slow_card = risk.train(df, "label", "x", trees=6, folds=2)
+    monkeypatch.undo()
+    # on counts of binned rows, without Spark's own fit
+    monkeypatch.setattr(risk, "GBTClassifier", None)
+    fast, card = risk.train(df, "label", "x", trees=6, folds=2)
+    p = [[x["probability"] for x in risk.score(df, m, c, explain=False).orderBy("_row").collect()] for m, c in ((slow, slow_card), (fast, card))]
+    assert max(abs(x - y) for x, y in zip(*p)) <= 0.0002
+    assert card.metrics == slow_card.metrics and card.rows == 600
+    assert [(c, round(v, 2)) for c, v in card.importances] == [(c, round(v, 2)) for c, v in slow_card.importances]
